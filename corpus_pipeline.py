@@ -8,14 +8,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, exact_dedup, mixing
+from tessera.llm import decontam, exact_dedup, mixing, near_dedup, quality
 from tessera.llm.staging import Staging, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    gone = quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-STAGES = [("exact dedup", exact), ("benchmark decontamination", decontaminate), ("mixing", mix)]
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("near dedup", near), ("benchmark decontamination", decontaminate), ("mixing", mix)]
 
 ORACLE_SQL = None
 
