@@ -260,3 +260,40 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
     return found.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+
+
+def _clean(bench: Benchmark, text_at: int):
+    def run(batches):
+        held, shard = [], _Shard(bench)
+
+        def flush():
+            nonlocal held, shard
+            if held:
+                spans, _ = shard.search()
+                clean, at = pa.array([not x for x in spans], pa.bool_()), 0
+                for part in held:
+                    yield part.filter(clean.slice(at, part.num_rows))
+                    at += part.num_rows
+            held, shard = [], _Shard(bench)
+
+        for batch in batches:
+            start, at = 0, 0
+            for raw in textkit.texts(batch.column(text_at)):
+                shard.add(raw)
+                at += 1
+                if shard.size >= SHARD_WORDS or shard.bytes >= SHARD_BYTES:
+                    held.append(batch.slice(start, at - start))
+                    start = at
+                    yield from flush()
+            if at > start:
+                held.append(batch.slice(start, at - start))
+        yield from flush()
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10, block_words: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
+    for bench in benchmark_blocks(benchmark, width, block_words):
+        docs = docs.mapInArrow(_clean(bench, docs.columns.index(text_col)), docs.schema)
+    return docs

@@ -181,3 +181,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), _held(id_col, folds, held_fold).alias("_held"), F.col(text_col).alias("_text"))
     scored = rows.mapInArrow(_score(model, prior), "_id long, _held boolean, _score double")
     return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def _keep(model: GatedAttention | None, prior: float, text_at: int, threshold: float):
+    def run(batches):
+        for batch in batches:
+            for row, n, data, offsets in textkit.chunks(batch.column(text_at)):
+                score = model.forward(*encode(data, offsets))[0] if model else np.full(n, prior)
+                yield batch.slice(row, n).filter(pa.array(score >= threshold))
+
+    return run
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes)
+    return docs.mapInArrow(_keep(model, prior, docs.columns.index(text_col), threshold), docs.schema)
