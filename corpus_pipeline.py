@@ -7,33 +7,49 @@ but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, exact_dedup, mixing, near_dedup, quality
 from tessera.llm.staging import Staging, table
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    gone = quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Documents that the quality classifier rejects go, row by row."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but for those whose id has verdicts (doc_id, kept) and none that keeps it; null ids count as one id."""
+    gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    gone = exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group of equal texts stays; of rows that agree in id and text one stays too."""
+    groups = Staging(spark, "pipeline").put(exact_dedup.exact_groups(docs).select("doc_id", "kept", "text_sha256"), "exact")
+    repeated = groups.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if repeated.isEmpty():
+        return without(docs, groups)
+    again = F.col("doc_id").eqNullSafe(F.col("_again"))
+    single = without(docs.join(repeated, again, "left_anti"), groups)
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), _UP, _LOW), 256)
+    stays = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    rest = docs.join(repeated, again, "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
+    rest = rest.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi").drop("_digest")
+    return single.unionByName(rest)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, near_dedup.near_groups(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontam.contamination_report(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents that hold a window of a benchmark item go, row by row."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
