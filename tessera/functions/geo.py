@@ -27,17 +27,21 @@ def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
+def _sum(parts: list[Column]) -> Column:
+    """Balanced sum: the tree stays shallow and every part stands in it once."""
+    while len(parts) > 1:
+        parts = [parts[i].bitwiseOR(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def _spread(x: Column) -> Column:
-    for shift, mask in _SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(_long(mask))
-    return x
+    """Bit i to bit 2i."""
+    return _sum([F.shiftleft(x.bitwiseAND(_long(1 << i)), i) for i in range(STEPS)])
 
 
 def _gather(x: Column) -> Column:
-    x = x.bitwiseAND(_long(_SPREAD[-1][1]))
-    for shift, mask in [(1, _SPREAD[3][1]), (2, _SPREAD[2][1]), (4, _SPREAD[1][1]), (8, _SPREAD[0][1]), (16, 0x00000000FFFFFFFF)]:
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(_long(mask))
-    return x
+    """Bit 2i to bit i."""
+    return _sum([F.shiftright(x.bitwiseAND(_long(1 << 2 * i)), i) for i in range(STEPS)])
 
 
 def _interleaved(lon: Column, lat: Column, lat_max: float) -> Column:

@@ -29,13 +29,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
 from tessera.llm.staging import Staging, partitions
 
-K, OVERLAP, AGREE, SHORT, BLOCK, ROUNDS = 64, 33, 4, 24, 512, 3
+K, OVERLAP, AGREE, SHORT, BLOCK, ROUNDS = 64, 33, 4, 24, 256, 2
 #: Similarity 4/5 as a ratio, and how far an estimate from K values may lie below it.
 NUMERATOR, DENOMINATOR, SLACK = 4, 5, 0.28
 
@@ -122,44 +122,56 @@ def _plausible(batches):
         yield textkit.output(schema, [batch.column("_x"), batch.column("_y")]).filter(pa.array(ok, pa.bool_()))
 
 
-def _compare(asked, given):
-    """Pairs (asked, given) of one block that may be similar."""
-    values = np.unique(np.concatenate([*(s for _, _, _, s in asked), *(s for _, _, _, s in given)]))
-
-    def grid(members):
-        out = np.zeros((len(members), len(values)), np.float32)
-        for i, (_, _, _, s) in enumerate(members):
-            out[i, np.searchsorted(values, s)] = 1
-        return out
-
-    shared = grid(asked) @ grid(given).T
-    for i, j in np.argwhere(shared >= 1):
-        (x, label_x, n, s), (y, label_y, m, t) = asked[i], given[j]
-        if label_x != label_y and shared[i, j] >= min(OVERLAP, NUMERATOR / DENOMINATOR * max(n, m), 48) - 1e-9 and NUMERATOR * max(n, m) <= DENOMINATOR * min(n, m) and _estimate(s, t):
-            yield (x, y) if x < y else (y, x)
+def _grid(members: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Which of the (sorted) values each member holds."""
+    out = np.zeros((len(members), len(values)), np.float32)
+    if len(values):
+        for i, own in enumerate(members):
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            out[i, at[values[at] == own]] = 1
+    return out
+
+
+def _compare(value, asked, given):
+    """Pairs (asked, given) of one block that may be similar; a pair is given by the smallest open list that both stand in."""
+    (x, la, n, s, p), (y, lb, m, t, q) = (tuple(zip(*side, strict=True)) for side in (asked, given))
+    values = np.unique(np.concatenate([*s, *t]))
+    shared = _grid(s, values) @ _grid(t, values).T
+    most = np.maximum(np.array(n)[:, None], np.array(m)[None])
+    least = np.minimum(np.array(n)[:, None], np.array(m)[None])
+    ok = (shared >= np.minimum(OVERLAP, NUMERATOR / DENOMINATOR * most) - 1e-6) & (NUMERATOR * most <= DENOMINATOR * least) & (np.array(la)[:, None] != np.array(lb)[None])
+    if not ok.any():
+        return
+    lists = np.unique(np.concatenate([*p, *q]))
+    lists = lists[lists < value]
+    if len(lists):
+        ok &= _grid(p, lists) @ _grid(q, lists).T == 0
+    for i, j in np.argwhere(ok):
+        if _estimate(s[i], t[j]):
+            yield (x[i], y[j]) if x[i] < y[j] else (y[j], x[i])
 
 
 def _long_lists(batches):
     """Rows come sorted by list and block: the asked members of a block are compared with its given ones."""
     schema = pa.schema([("_x", pa.int64()), ("_y", pa.int64())])
 
-    def finish(asked, given):
-        found = set(_compare(asked, given)) if asked and given else set()
+    def finish(key, asked, given):
+        found = set(_compare(key[0], asked, given)) if asked and given else set()
         if found:
             pairs = np.array(sorted(found), np.int64)
             yield textkit.output(schema, [pairs[:, 0], pairs[:, 1]])
 
     key, asked, given = None, [], []
     for batch in batches:
-        for value, block, ask, c, label, n, sketch in zip(*(batch.column(x).to_pylist() for x in ("_value", "_block", "_ask", "_c", "_label", "_n", "_sketch")), strict=True):
+        for value, block, ask, c, label, n, sketch, lists in zip(*(batch.column(x).to_pylist() for x in ("_value", "_block", "_ask", "_c", "_label", "_n", "_sketch", "_lists")), strict=True):
             if (value, block) != key:
-                yield from finish(asked, given)
+                yield from finish(key, asked, given)
                 key, asked, given = (value, block), [], []
-            (asked if ask else given).append((c, label, n, np.array(sketch, np.int64).view(np.uint64)))
+            (asked if ask else given).append((c, label, n, np.array(sketch, np.int64).view(np.uint64), np.sort(np.array(lists, np.int64))))
             if len(asked) >= BLOCK:
-                yield from finish(asked, given)
+                yield from finish(key, asked, given)
                 asked = []
-    yield from finish(asked, given)
+    yield from finish(key, asked, given)
 
 
 class _Job:
@@ -250,22 +262,30 @@ class _Job:
         some = lists.groupBy(F.col("_value").alias("_v")).agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).where("_a != _b").select("_v")
         return lists.join(some, F.col("_value") == F.col("_v"), "left_semi")
 
-    def contract(self, lists: DataFrame, r: int) -> DataFrame:
-        """Each member with the pivot of its lists that it shares most lists with."""
-        pivots = lists.groupBy(F.col("_value").alias("_v")).agg(F.min(F.struct(F.xxhash64("_c", F.lit(r)).alias("_o"), "_c", "_label", "_n")).alias("_p"))
+    def contract(self, lists: DataFrame) -> DataFrame:
+        """Each member with up to two pivots of its lists. A list's pivots are its member with most postings in long lists (copies lose postings to what sets them apart, so it is the one that others are copies of) and two by hash."""
+        weight = lists.groupBy(F.col("_c").alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
+        weighed = lists.join(weight, F.col("_c") == F.col("_k"))
+        facts = [F.col("_c"), F.col("_label"), F.col("_n")]
+        first = F.min(F.struct((-F.col("_w")).alias("_o"), F.xxhash64("_c").alias("_h"), *facts))
+        others = [F.min(F.struct(F.xxhash64("_c", F.lit(r)).alias("_o"), F.lit(0).cast("long").alias("_h"), *facts)) for r in (1, 2)]
+        pivots = weighed.groupBy(F.col("_value").alias("_v")).agg(F.array(first, *others).alias("_ps")).select("_v", F.explode("_ps").alias("_p"))
         pairs = lists.join(pivots, F.col("_value") == F.col("_v")).where("_label != _p._label")
         pairs = pairs.where((F.col("_n") * DENOMINATOR >= F.col("_p._n") * NUMERATOR) & (F.col("_p._n") * DENOMINATOR >= F.col("_n") * NUMERATOR))
-        pairs = pairs.groupBy("_c", F.col("_p._c").alias("_y")).agg(F.count(F.lit(1)).alias("_s"))
-        best = pairs.groupBy(F.col("_c").alias("_x")).agg(F.max(F.struct("_s", "_y")).alias("_b")).where("_b._s > 1")
-        return best.select("_x", F.col("_b._y").alias("_y"))
+        pairs = pairs.groupBy(F.col("_c").alias("_x"), F.col("_p._c").alias("_y")).agg(F.count(F.lit(1)).alias("_s")).where("_s > 1")
+        best = Window.partitionBy("_x").orderBy(F.desc("_s"), "_y")
+        return pairs.withColumn("_r", F.row_number().over(best)).where("_r <= 2").select("_x", "_y")
 
     def residual(self, lists: DataFrame) -> DataFrame:
         """Plausible pairs of different labels inside long lists, found block by block."""
         sizes = lists.groupBy(F.col("_value"), "_label").agg(F.count(F.lit(1)).alias("_m")).groupBy(F.col("_value").alias("_v")).agg(F.sum("_m").alias("_all"), F.max(F.struct("_m", "_label")).alias("_top"))
         placed = lists.join(sizes, F.col("_value") == F.col("_v")).withColumn("_blocks", F.ceil(F.col("_all") / BLOCK).cast("int")).withColumn("_outside", F.col("_label") != F.col("_top._label"))
-        placed = placed.select("_value", "_c", "_label", "_n", "_blocks", "_outside").join(self.reps.select(F.col("_c").alias("_r"), "_sketch"), F.col("_c") == F.col("_r")).drop("_r")
-        given = placed.select("_value", F.pmod(F.xxhash64("_c"), F.col("_blocks")).cast("int").alias("_block"), F.lit(False).alias("_ask"), "_c", "_label", "_n", "_sketch")
-        asked = placed.where("_outside").select("_value", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(True).alias("_ask"), "_c", "_label", "_n", "_sketch")
+        own = lists.groupBy(F.col("_c").alias("_k")).agg(F.collect_list("_value").alias("_lists"))
+        facts = self.reps.select(F.col("_c").alias("_r"), "_sketch").join(own, F.col("_r") == F.col("_k")).drop("_k")
+        placed = placed.select("_value", "_c", "_label", "_n", "_blocks", "_outside").join(facts, F.col("_c") == F.col("_r")).drop("_r")
+        row = ["_c", "_label", "_n", "_sketch", "_lists"]
+        given = placed.select("_value", F.pmod(F.xxhash64("_c"), F.col("_blocks")).cast("int").alias("_block"), F.lit(False).alias("_ask"), *row)
+        asked = placed.where("_outside").select("_value", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(True).alias("_ask"), *row)
         rows = given.unionByName(asked).repartition(partitions(self.spark), "_value", "_block").sortWithinPartitions("_value", "_block", "_ask")
         return rows.mapInArrow(_long_lists, "_x long, _y long").distinct()
 
@@ -275,17 +295,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     job = _Job(docs, id_col, text_col, width)
     job.classes()
     job.postings()
-    pairs = job.put(job.plausible(job.short_pairs()), "short")
     long = job.lists.where(F.col("_size") > SHORT)
+    starts = job.short_pairs().unionByName(job.contract(job.labelled(long, None))).distinct()
+    pairs = job.put(job.plausible(starts), "pairs")
     job.load_sets(pairs.select(F.col("_x").alias("_c")).union(pairs.select("_y")).union(long.select("_c")).distinct())
-    links = job.confirm(pairs, "short-links")
-    labels = job.components(links, "short") if not links.isEmpty() else None
+    links = job.confirm(pairs, "links")
+    labels = job.components(links, "first") if not links.isEmpty() else None
     for r in range(ROUNDS):
         still = job.put(job.open_lists(job.labelled(long, labels)), f"open{r}")
         if still.isEmpty():
             break
-        last = r == ROUNDS - 1
-        more = job.residual(still) if last else job.plausible(job.contract(still, r))
+        more = job.residual(still) if r == ROUNDS - 1 else job.plausible(job.contract(still))
         found = job.confirm(job.put(more, f"pairs{r}"), f"links{r}")
         if not found.isEmpty():
             known = links if labels is None else labels.select(F.col("_v").alias("_x"), F.col("_label").alias("_y"))

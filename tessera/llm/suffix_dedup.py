@@ -39,6 +39,7 @@ REACH, CORE = LENGTH - 2 * WINDOW - GRAM + 1, LENGTH - WINDOW + 1
 #: A place packs position, length of the phrase behind the run, length of the run, and flags: the run ends at the text's last anchor; past the threshold; unique.
 _POS, _GAP, _SPAN, _TAIL, _DONE, _ALONE = 24, 14, 3, 1, 2, 4
 _ROW = "_rank long, _next long, _rid long, _place long"
+_PAIRED = f"{_ROW}, _live boolean"
 
 
 def _anchor_of(data: np.ndarray) -> np.ndarray:
@@ -97,11 +98,11 @@ def _phrases(batches):
             ])
 
 
-def _rows(rank, after, rid, place):
-    schema = pa.schema([("_rank", pa.int64()), ("_next", pa.int64()), ("_rid", pa.int64()), ("_place", pa.int64())])
+def _rows(rank, after, rid, place, live=None):
+    schema = pa.schema([("_rank", pa.int64()), ("_next", pa.int64()), ("_rid", pa.int64()), ("_place", pa.int64())] + [("_live", pa.bool_())] * (live is not None))
     for at in range(0, len(rank), 200_000):
         s = slice(at, at + 200_000)
-        yield textkit.output(schema, [rank[s], after[s], rid[s], place[s]])
+        yield textkit.output(schema, [rank[s], after[s], rid[s], place[s]] + ([live[s]] if live is not None else []))
 
 
 def _spread(batches):
@@ -169,7 +170,9 @@ def _pair(batches):
     alone = ~over & ~done & (~there | ((flags[at] & _ALONE) > 0))
     grown = (pos << _POS) | (np.where(there, gap[at], 0) << _GAP) | (reach << _SPAN) | np.where(there, flags[at] & _TAIL, 0)
     place = np.where(over, place, np.where(done, place | _DONE, np.where(alone, grown | _ALONE, grown)))
-    yield from _rows(rank, np.where(over | done | alone, 0, rank[at]), rid, place)
+    live = np.zeros(int(text[-1]) + 1, bool)
+    live[text[~(over | done | alone)]] = True
+    yield from _rows(rank, np.where(over | done | alone, 0, rank[at]), rid, place, live[text])
 
 
 def _digests(batches):
@@ -242,18 +245,24 @@ def _cut(batches):
 
 
 def _double(staging: Staging, rows: DataFrame) -> DataFrame:
-    """Rounds of sorting pairs, dropping unique ones and reranking, until all that are left are past the threshold."""
+    """Rounds of sorting pairs, dropping unique ones and reranking, until all that are left are past the threshold.
+
+    Only rows that are neither past it nor unique are sorted; texts without such rows leave the rounds.
+    """
     spark, n = staging.spark, partitions(staging.spark)
-    level = 0
+    order, level, found = ["_rank", "_next", "_rid", "_place"], 0, None
+    over = F.col("_place").bitwiseAND(_DONE | _ALONE) != 0
     while True:
-        order = ["_rank", "_next", "_rid", "_place"]
-        ranked = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_rerank(not level), _ROW)
-        paired = ranked.repartition(n, "_rid").sortWithinPartitions("_rid", "_place").mapInArrow(_pair, _ROW)
-        rows = staging.put(paired, f"level{level}")
+        todo = rows.where(~over) if level else rows
+        ranked = todo.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_rerank(not level), _ROW)
         if level:
-            staging.drop(f"level{level - 1}")
-        if rows.where(F.col("_place").bitwiseAND(_DONE | _ALONE) == 0).isEmpty():
-            return rows.where(F.col("_place").bitwiseAND(_ALONE) == 0)
+            ranked = ranked.unionByName(rows.where(over))
+        paired = staging.put(ranked.repartition(n, "_rid").sortWithinPartitions("_rid", "_place").mapInArrow(_pair, _PAIRED), f"level{level}")
+        past = paired.where(~F.col("_live") & (F.col("_place").bitwiseAND(_ALONE) == 0)).select("_rid", "_place")
+        found = past if found is None else found.unionByName(past)
+        rows = paired.where("_live").drop("_live")
+        if rows.isEmpty():
+            return found
         level += 1
 
 

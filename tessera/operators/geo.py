@@ -16,7 +16,7 @@ def geoadd(requests: DataFrame) -> DataFrame:
 
 def geopos(state: DataFrame) -> DataFrame:
     s = F.col("score").cast("long")
-    return state.withColumn("lon", geo.geo_lon(s)).withColumn("lat", geo.geo_lat(s))
+    return state.select("*", geo.geo_lon(s).alias("lon"), geo.geo_lat(s).alias("lat"))
 
 
 def geohash(state: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def geosearch(state: DataFrame, lon: float, lat: float, radius: float | None = N
     width, height = (box[0] * size, box[1] * size) if box else (0.0, 0.0)
     near = state.where(geo.in_intervals(F.col("score"), geo.areas(lon, lat, reach, width, height)))
     x, y = F.lit(lon), F.lit(lat)
-    own = geopos(near).where(_inside(x, y, reach, width, height)).withColumn("dist", geo.geo_dist(x, y, F.col("lon"), F.col("lat"), unit))
+    own = geopos(near).select("*", geo.geo_dist(x, y, F.col("lon"), F.col("lat"), unit).alias("dist"))
+    own = own.where(F.col("dist") <= radius) if radius is not None else own.where(_inside(x, y, reach, width, height))
     if count is None:
         return own
     from pyspark.sql import Window
