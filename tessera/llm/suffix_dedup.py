@@ -244,25 +244,28 @@ def _cut(batches):
         yield textkit.output(schema, [batch.column("_id"), sizes, shas, spans])
 
 
-def _double(staging: Staging, rows: DataFrame) -> DataFrame:
-    """Rounds of sorting pairs, dropping unique ones and reranking, until all that are left are past the threshold.
+def _double(staging: Staging, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The positions past the threshold, and the names of the tables that hold them.
+
+    Rounds of sorting pairs, dropping unique ones and reranking, until all that are left are past the threshold.
 
     Only rows that are neither past it nor unique are sorted; texts without such rows leave the rounds.
     """
-    spark, n = staging.spark, partitions(staging.spark)
-    order, level, found = ["_rank", "_next", "_rid", "_place"], 0, None
+    n, level, found, tables = partitions(staging.spark), 0, None, []
+    order = ["_rank", "_next", "_rid", "_place"]
     over = F.col("_place").bitwiseAND(_DONE | _ALONE) != 0
     while True:
         todo = rows.where(~over) if level else rows
         ranked = todo.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_rerank(not level), _ROW)
         if level:
             ranked = ranked.unionByName(rows.where(over))
-        paired = staging.put(ranked.repartition(n, "_rid").sortWithinPartitions("_rid", "_place").mapInArrow(_pair, _PAIRED), f"level{level}")
+        tables.append(f"level{level}")
+        paired = staging.put(ranked.repartition(n, "_rid").sortWithinPartitions("_rid", "_place").mapInArrow(_pair, _PAIRED), tables[-1])
         past = paired.where(~F.col("_live") & (F.col("_place").bitwiseAND(_ALONE) == 0)).select("_rid", "_place")
         found = past if found is None else found.unionByName(past)
         rows = paired.where("_live").drop("_live")
         if rows.isEmpty():
-            return found
+            return found, tables
         level += 1
 
 
@@ -274,12 +277,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_phrases, "_rid long, _id long, _hash long, _bytes long, _sha string, _first long, _sizes array<short>, _ranks array<long>")
     keyed = staging.put(keyed, "phrases")
     spread = keyed.where(F.size("_ranks") > 0).select("_rid", "_first", "_sizes", "_ranks").mapInArrow(_spread, _ROW)
-    found = _double(staging, spread)
+    found, levels = _double(staging, spread)
 
     wanted = found.groupBy("_rid").agg(F.collect_list(F.shiftright("_place", _POS)).alias("_wanted"))
     facts = keyed.select("_rid", "_id", "_hash", "_bytes", "_sha")
     wanted = facts.select(F.col("_rid").alias("_r"), F.col("_id").alias("_i"), F.col("_hash").alias("_h")).join(wanted, F.col("_r") == F.col("_rid")).drop("_r")
     wanted = wanted.groupBy("_i", "_h").agg(F.min(F.struct("_rid", "_wanted")).alias("_x")).select("_i", "_h", "_x._rid", "_x._wanted")
+    wanted = staging.put(wanted, "wanted")
+    staging.drop(*levels)
     texts = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_rid", "_id", "_hash", "_text", "_wanted")
     texts = staging.put(texts, "texts")
 
@@ -292,11 +297,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts = staging.put(once.mapInArrow(_starts, "_digest binary, _rid long, _start long, _single boolean"), "starts")
     twice = starts.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_digest").alias("_d"))
     some = starts.where("_single").join(twice, F.col("_digest") == F.col("_d")).select("_rid", F.col("_start").alias("_a"), (F.col("_start") + LENGTH).alias("_b"))
+    some = staging.put(some, "some")
+    staging.drop("starts")
 
     again = groups.where("_n > 1").select(F.col("_whole").alias("_w"))
     a = F.shiftright("_place", 16)
     every = blocks.join(again, F.col("_whole") == F.col("_w")).select("_rid", (a - F.shiftright("_place", 8).bitwiseAND(255)).alias("_a"), (a - F.col("_place").bitwiseAND(255) + LENGTH).alias("_b"))
     cut = every.unionByName(some).groupBy(F.col("_rid").alias("_r")).agg(F.collect_set(F.struct("_a", "_b")).alias("_cut"))
+    cut = staging.put(cut, "cut")
+    staging.drop("blocks", "groups", "some")
 
     changed = texts.select("_rid", "_id", "_text").join(cut, F.col("_rid") == F.col("_r"), "left").select("_id", "_text", "_cut")
     changed = changed.mapInArrow(_cut, "_id long, _bytes long, _sha string, _spans array<long>")
