@@ -43,8 +43,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    return without(docs, near_dedup.near_groups(docs))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, decided row by row."""
+    return near_dedup.drop_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

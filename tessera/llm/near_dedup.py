@@ -290,8 +290,8 @@ class _Job:
         return rows.mapInArrow(_long_lists, "_x long, _y long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row per document: ``id_col``, n_shingles, component_id, kept. width: words of a shingle."""
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[_Job, DataFrame]:
+    """The job, and one row per document: _id, _hash (of the text), _n, _label (null without words), _component."""
     job = _Job(docs, id_col, text_col, width)
     job.classes()
     job.postings()
@@ -313,7 +313,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = job.members.join(labels, F.col("_c") == F.col("_v"), "left").select("_set", F.coalesce("_label", "_c").alias("_label"), "_least") if labels is not None else job.members.select("_set", F.col("_c").alias("_label"), "_least")
     classes = job.put(classes, "labelled")
     least = classes.groupBy(F.col("_label").alias("_l")).agg(F.min("_least").alias("_component"))
-    classes = job.put(classes.join(least, F.col("_label") == F.col("_l")).select(F.col("_set").alias("_s"), "_component"), "component")
-    out = job.all.select("_id", "_n", "_set").join(classes, (F.col("_set") == F.col("_s")) & (F.col("_n") > 0), "left")
+    classes = job.put(classes.join(least, F.col("_label") == F.col("_l")).select(F.col("_set").alias("_s"), "_label", "_component"), "component")
+    return job, job.all.select("_id", "_hash", "_n", "_set").join(classes, (F.col("_set") == F.col("_s")) & (F.col("_n") > 0), "left")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One row per document: ``id_col``, n_shingles, component_id, kept. width: words of a shingle."""
+    _, out = _components(docs, id_col, text_col, width)
     component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each component (smallest id, null last, then text hash), and all without words."""
+    job, out = _components(docs, id_col, text_col, width)
+    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    members = job.put(out.where("_n > 0").groupBy("_id", "_hash", "_label").agg(F.count(F.lit(1)).alias("_rows")), "members")
+    first = members.groupBy(F.col("_label").alias("_l")).agg(F.min(rank).alias("_first"))
+    verdicts = members.join(first, F.col("_label") == F.col("_l")).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_rows", (rank == F.col("_first")).alias("_stays"))
+    verdicts = job.put(verdicts, "verdicts")
+    own = docs.withColumn("_own", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_own") == F.col("_h"))
+    repeated = verdicts.where("_stays and _rows > 1")
+    if repeated.isEmpty():
+        return own.join(verdicts.where("not _stays"), same, "left_anti").drop("_own")
+    single = own.join(verdicts.where("not _stays or _rows > 1"), same, "left_anti")
+    return single.unionByName(own.join(repeated, same, "left_semi").dropDuplicates([id_col, "_own"])).drop("_own")
