@@ -6,7 +6,8 @@ passages, and the weighted sum is scored by a logistic output. Encoder, attentio
 document labels by back-propagation.
 
 Training reads a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, of texts up to
-``train_bytes`` bytes, outside the held-out fold. Scoring is one pass over all documents without a shuffle.
+``train_bytes`` bytes, outside the held-out fold. It takes ``steps`` optimiser steps whatever the size of that sample.
+Scoring is one pass over all documents without a shuffle.
 
 Defined results: a null or empty text is one empty passage; a null id counts as the empty text for the fold and is
 never trained on; ids with more than one label take the smallest; without labelled rows, or with one label only, the
@@ -40,6 +41,8 @@ def _kinds() -> np.ndarray:
 
 KIND = _kinds()
 FEATURES = _KINDS * _KINDS + 4
+#: Optimiser steps of the training: 40 rounds over a full sample of 4000 rows.
+STEPS = 1280
 
 
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +114,14 @@ class GatedAttention:
         g["W"], g["b"] = x.T @ dh, dh.sum(0)
         return g
 
-    def fit(self, bags: list[np.ndarray], label: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11):
+    def fit(self, bags: list[np.ndarray], label: np.ndarray, steps: int = STEPS, batch: int = 128, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11):
         every = np.concatenate(bags)
         self.mean, self.scale = every.mean(0), every.std(0) + 0.02
         rng, step = np.random.default_rng(seed), 0
         m, s = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(bags))
-            for at in range(0, len(order), batch):
+            for at in range(0, min(len(order), (steps - step) * batch), batch):
                 own = order[at : at + batch]
                 first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in own])])
                 step += 1
@@ -154,7 +157,7 @@ def _held(id_col: str, folds: int, held_fold: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held_fold
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, train_bytes: int) -> tuple[GatedAttention | None, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, train_bytes: int, steps: int) -> tuple[GatedAttention | None, float]:
     """The model and the smoothed share of label 1 in the sample."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~_held(id_col, folds, held_fold))
     usable = usable.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("double").alias("_label"))
@@ -171,13 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     y = np.array([label[r["_id"]] for r in rows])
     if len(set(y.tolist())) < 2:
         return None, prior
-    epochs = max(40, min(400, 40 * 4000 // len(bags)))
-    return GatedAttention().fit(bags, y, epochs=epochs), prior
+    return GatedAttention().fit(bags, y, steps=steps), prior
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
     """One row per document: ``id_col``, held_out, score, predicted."""
-    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes)
+    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes, steps)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), _held(id_col, folds, held_fold).alias("_held"), F.col(text_col).alias("_text"))
     scored = rows.mapInArrow(_score(model, prior), "_id long, _held boolean, _score double")
     return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
@@ -193,7 +195,7 @@ def _keep(model: GatedAttention | None, prior: float, text_at: int, threshold: f
     return run
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
-    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes)
+    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes, steps)
     return docs.mapInArrow(_keep(model, prior, docs.columns.index(text_col), threshold), docs.schema)
