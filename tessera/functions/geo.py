@@ -27,21 +27,32 @@ def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
-def _sum(parts: list[Column]) -> Column:
-    """Balanced sum: the tree stays shallow and every part stands in it once."""
-    while len(parts) > 1:
-        parts = [parts[i].bitwiseOR(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: the optimiser may copy a column expression, not a lambda's variable."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
+def _stepped(x: Column, steps: list[tuple[str, int, int]]) -> Column:
+    """x after (x | x shifted) & mask for each (direction, shift, mask)."""
+
+    def step(way, shift, mask):
+        move = F.shiftleft if way == "left" else F.shiftright
+        return lambda v: v.bitwiseOR(move(v, shift)).bitwiseAND(_long(mask))
+
+    for one in steps:
+        x = _bound(x, step(*one))
+    return x
 
 
 def _spread(x: Column) -> Column:
     """Bit i to bit 2i."""
-    return _sum([F.shiftleft(x.bitwiseAND(_long(1 << i)), i) for i in range(STEPS)])
+    return _stepped(x, [("left", shift, mask) for shift, mask in _SPREAD])
 
 
 def _gather(x: Column) -> Column:
     """Bit 2i to bit i."""
-    return _sum([F.shiftright(x.bitwiseAND(_long(1 << 2 * i)), i) for i in range(STEPS)])
+    masks = [mask for _, mask in _SPREAD[::-1]][1:] + [0xFFFFFFFF]
+    return _stepped(x.bitwiseAND(_long(_SPREAD[-1][1])), [("right", 1 << i, mask) for i, mask in enumerate(masks)])
 
 
 def _interleaved(lon: Column, lat: Column, lat_max: float) -> Column:
@@ -56,19 +67,30 @@ def geo_score(lon: Column, lat: Column) -> Column:
     return F.when(inside, _interleaved(lon, lat, LAT_MAX))
 
 
+def _middle(cell: Column, limit: float) -> Column:
+    """Middle of the cell of this number, on an axis from -limit to limit."""
+    unit = float(1 << STEPS)
+    low, high = -limit + cell / unit * (2 * limit), -limit + (cell + 1) / unit * (2 * limit)
+    return F.greatest(F.lit(-limit), F.least(F.lit(limit), (low + high) / 2))
+
+
 def geo_lon(score: Column) -> Column:
     """Longitude of the middle of the score's cell."""
-    x = _gather(F.shiftright(score, 1)).cast("double")
-    unit = float(1 << STEPS)
-    low, high = -LON_MAX + x / unit * (2 * LON_MAX), -LON_MAX + (x + 1) / unit * (2 * LON_MAX)
-    return F.greatest(F.lit(-LON_MAX), F.least(F.lit(LON_MAX), (low + high) / 2))
+    return _bound(_gather(F.shiftright(score, 1)).cast("double"), lambda x: _middle(x, LON_MAX))
 
 
 def geo_lat(score: Column) -> Column:
-    y = _gather(score).cast("double")
-    unit = float(1 << STEPS)
-    low, high = -LAT_MAX + y / unit * (2 * LAT_MAX), -LAT_MAX + (y + 1) / unit * (2 * LAT_MAX)
-    return F.greatest(F.lit(-LAT_MAX), F.least(F.lit(LAT_MAX), (low + high) / 2))
+    return _bound(_gather(score).cast("double"), lambda y: _middle(y, LAT_MAX))
+
+
+def geo_point(score: Column, more=None) -> Column:
+    """Struct (lon, lat) of the score, with the fields that ``more(lon, lat)`` gives."""
+
+    def point(s):
+        place = F.struct(geo_lon(s).alias("lon"), geo_lat(s).alias("lat"))
+        return _bound(place, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), *more(p["lon"], p["lat"]))) if more else place
+
+    return _bound(score, point)
 
 
 def geo_dist(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str = "m") -> Column:
@@ -82,9 +104,11 @@ def geo_dist(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str =
 
 def geohash_string(score: Column) -> Column:
     """The 11 characters of the standard geohash of the score's cell; the last is always 0."""
-    bits = _interleaved(geo_lon(score), geo_lat(score), 90.0)
-    chars = [F.substring(F.lit(ALPHABET), F.shiftright(bits, 52 - 5 * (i + 1)).bitwiseAND(31).cast("int") + 1, F.lit(1)) for i in range(10)]
-    return F.concat(*chars, F.lit("0"))
+
+    def text(bits):
+        return F.concat(*[F.substring(F.lit(ALPHABET), F.shiftright(bits, 52 - 5 * (i + 1)).bitwiseAND(31).cast("int") + 1, F.lit(1)) for i in range(10)], F.lit("0"))
+
+    return _bound(geo_point(score), lambda p: _bound(_interleaved(p["lon"], p["lat"], 90.0), text))
 
 
 def in_intervals(score: Column, intervals: list[tuple[int, int]]) -> Column:

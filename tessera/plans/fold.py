@@ -3,6 +3,10 @@
 Input: (seq, ts_ms, client, cmd, args) and, for transactions, tx_id. A group's commands run in order of ``seq`` in one
 task; groups run side by side. Long histories of one key belong in the set-oriented operators, which fold before the
 shuffle.
+
+Commands over all keys (DBSIZE, KEYS, SCAN, FLUSHDB, INFO, MEMORY STATS, BGREWRITEAOF) run in every group, at their place
+among the group's own commands; each group's share of the answer is merged by ``seq``. They travel with the tasks, and
+at most ``GLOBALS`` of them are taken in one run: a longer log is run in parts.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.machine import Machine, Reply
+from tessera.plans.machine import Machine, Reply, keys_of
 
 REPLIES = "seq long, kind string, i long, s binary, d double, nested string, error string"
 STATE = "component binary, key binary, type string, value binary, expire_at_ms long, records array<array<binary>>"
@@ -43,20 +47,64 @@ def _machine(seed: bytes) -> Machine:
     return Machine(seed=int.from_bytes(seed[:8].ljust(8, b"\0"), "big"))
 
 
-def _run(frame: pd.DataFrame, m: Machine):
-    """(seq, reply, records) of each command, blocks of a transaction together."""
+#: Commands over all keys that one run takes.
+GLOBALS = 1 << 16
+
+
+class _Share:
+    """What one group adds to the answer of a command over all keys."""
+
+    def __init__(self, m: Machine, words: list[bytes], reply: Reply):
+        name, self.parts = words[0].upper().decode("latin-1"), None
+        if reply.kind == "error":
+            return
+        if name == "DBSIZE":
+            self.parts = {"n": len(m.keys)}
+        elif name in ("KEYS", "SCAN"):
+            from tessera.plans.machine import ordered
+
+            self.parts = {"keys": [(t, slot, k.decode("latin-1")) for t, slot, k in ordered(m)]}
+        elif name == "INFO":
+            self.parts = {"keys": len(m.keys), "expires": sum(e.expire is not None for e in m.keys.values()), "memory": m.memory(), "calls": dict(m.calls)}
+        elif name == "MEMORY":
+            self.parts = {"map": [(k.value.decode(), x.value) for k, x in reply.value]} if reply.kind == "map" else None
+
+    def json(self) -> str:
+        return json.dumps(self.parts)
+
+
+def _run(frame: pd.DataFrame, m: Machine, everywhere: list[tuple] = (), shares: list | None = None):
+    """(seq, reply, records) of each command, blocks of a transaction together.
+
+    everywhere: commands over all keys, (place, seq, ts_ms, cmd, args, tx); those whose block is in the frame run there.
+    Their shares go to ``shares`` as (seq, words, reply, share).
+    """
     frame = frame.sort_values("seq", kind="stable")
     blocks = frame["tx_id"] if "tx_id" in frame else pd.Series([None] * len(frame), index=frame.index)
     pending: list = []
-    rows = list(zip(frame["seq"], frame["ts_ms"], frame["cmd"], frame["args"], blocks, strict=True))
-    last = {t: i for i, (_, _, _, _, t) in enumerate(rows) if t is not None and t == t}
+    own = [(seq, seq, ts, cmd, args, None if t is None or t != t else t, False) for seq, ts, cmd, args, t in zip(frame["seq"], frame["ts_ms"], frame["cmd"], frame["args"], blocks, strict=True)]
+    here = {x[5] for x in own}
+    rows = sorted([*own, *((*x[:5], None, True) for x in everywhere if x[5] is None or x[5] not in here)], key=lambda x: (x[0], x[1]))
+    last = {x[5]: i for i, x in enumerate(rows) if x[5] is not None}
     waiting: dict = {}
-    for i, (seq, ts, cmd, args, tx) in enumerate(rows):
+
+    def one(seq, words, reply, records):
+        if words[0].upper() == b"BGREWRITEAOF" and reply.kind != "error":
+            pending[:] = [(s, r, []) for s, r, _ in pending]
+            records = list(m.log)
+        pending.append((seq, reply, records))
+
+    for i, (_, seq, ts, cmd, args, tx, shared) in enumerate(rows):
         words = [cmd.encode(), *(bytes(x) for x in args)]
         m.now = int(ts)
+        # keys take their places in the order of the whole log
+        m.slots = max(m.slots, int(seq) << 10)
         start = len(m.log)
-        if tx is None or tx != tx:
-            pending.append((seq, m.run(words), m.log[start:]))
+        if tx is None:
+            reply = m.run(words)
+            one(seq, words, reply, m.log[start:])
+            if shared:
+                shares.append((seq, words, reply, _Share(m, words, reply)))
             continue
         waiting.setdefault(tx, []).append((seq, words))
         if last[tx] == i:
@@ -65,41 +113,127 @@ def _run(frame: pd.DataFrame, m: Machine):
                 aborted = Reply("error", "EXECABORT Transaction discarded because of previous errors.")
                 pending += [(s, r or aborted, []) for (s, _), r in zip(waiting[tx], refused, strict=True)]
             else:
-                answers = m.block([w for _, w in waiting[tx]]).value
+
+                def seen(k, reply, block=waiting[tx]):
+                    s, w = block[k]
+                    if shares is not None and w[0].upper().decode("latin-1") in _EVERYWHERE and not keys_of(w[0].decode("latin-1"), w[1:]):
+                        shares.append((s, w, reply, _Share(m, w, reply)))
+
+                answers = m.block([w for _, w in waiting[tx]], seen).value
                 pending += [(s, r, m.log[start:] if s == seq else []) for (s, _), r in zip(waiting[tx], answers, strict=True)]
     return pending
 
 
+def _merged(words: list[bytes], base: Reply, parts: list[dict]) -> Reply:
+    """The answer of a command over all keys from the shares of all groups."""
+    from tessera.plans import machine_sketch
+
+    name = words[0].upper().decode("latin-1")
+    if base.kind == "error" or not parts:
+        return base
+    if name == "DBSIZE":
+        return Reply("int", sum(p["n"] for p in parts))
+    if name in ("KEYS", "SCAN"):
+        m = machine_sketch.catalogue((t, slot, k.encode("latin-1")) for p in parts for t, slot, k in p["keys"])
+        return m.run(words)
+    if name == "INFO":
+        calls: dict[str, int] = {}
+        for p in parts:
+            for k, n in p["calls"].items():
+                # what runs in every group is counted once
+                calls[k] = max(calls.get(k, 0), n) if k in _EVERYWHERE else calls.get(k, 0) + n
+        return machine_sketch.info(sum(p["keys"] for p in parts), sum(p["expires"] for p in parts), sum(p["memory"] for p in parts), 0, "noeviction", calls, words[1:])
+    totals: dict[str, int] = {}
+    for p in parts:
+        for k, n in p["map"]:
+            totals[k] = totals.get(k, 0) + n
+    return Reply("map", [(Reply("bulk", k.encode()), Reply("int", n)) for k, n in totals.items()])
+
+
+_EVERYWHERE = ("FLUSHDB", "DBSIZE", "KEYS", "SCAN", "INFO", "MEMORY", "BGREWRITEAOF")
+_SHARES = "share string, words array<binary>"
+
+
+def _everywhere(commands: DataFrame) -> list[tuple]:
+    """Commands over all keys, in order, at the place of their transaction's last command."""
+    from tessera.plans import router
+
+    found = commands.where(router.is_global())
+    if "tx_id" in commands.columns:
+        ends = commands.where("tx_id is not null").groupBy(F.col("tx_id").alias("_t")).agg(F.max("seq").alias("_end"))
+        found = found.join(ends, F.col("tx_id") == F.col("_t"), "left").select(F.coalesce("_end", "seq").alias("place"), "seq", "ts_ms", "cmd", "args", "tx_id")
+    else:
+        found = found.select(F.col("seq").alias("place"), "seq", "ts_ms", "cmd", "args", F.lit(None).alias("tx_id"))
+    rows = found.limit(GLOBALS + 1).collect()
+    if len(rows) > GLOBALS:
+        raise ValueError(f"more than {GLOBALS} commands over all keys in one run")
+    return sorted((r["place"], r["seq"], r["ts_ms"], r["cmd"], [bytes(x) for x in r["args"]], r["tx_id"]) for r in rows)
+
+
 def run(commands: DataFrame, outputs: str = "replies", routed: bool = False) -> DataFrame:
-    """outputs: "replies", "log" (canonical records) or "state" (what the log leaves). routed: ``component`` is there already."""
+    """outputs: "replies", "log" (canonical records) or "state" (what the log leaves). routed: ``keys`` and ``component`` are there already."""
     from tessera.plans import router
 
     if not routed:
         keyed = router.with_keys(commands)
         commands = router.components(keyed) if "tx_id" in commands.columns else _by_first_key(keyed)
-    schema = {"replies": REPLIES, "state": STATE, "log": LOG}[outputs]
+    everywhere = _everywhere(commands)
+    if everywhere:
+        # a group without keys of its own answers where there are no keys, and names errors
+        commands = commands.where(~router.is_global() | (F.col("tx_id").isNotNull() if "tx_id" in commands.columns else F.lit(False)))
+        empty = commands.sparkSession.createDataFrame([(None,)], "component binary")
+        commands = commands.unionByName(empty, allowMissingColumns=True)
+    schema = {"replies": f"{REPLIES}, {_SHARES}", "state": STATE, "log": LOG}[outputs]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def step(key, frame):
         from tessera.plans import machine_sketch
         from tessera.plans.machine import ordered
 
         name = bytes(key[0] or b"")
-        m = _machine(name)
-        done = _run(frame, m)
+        m, shares = _machine(name), []
+        done = _run(frame[frame["seq"].notna()], m, everywhere, shares)
         if outputs == "replies":
-            return pd.DataFrame([row(s, r) for s, r, _ in done], columns=[x.split()[0] for x in schema.split(", ")])
+            shared = {s for s, *_ in shares}
+            rows = [(*row(s, r), None, None) for s, r, _ in done if s not in shared]
+            for s, words, reply, share in shares:
+                if key[0] is None or share.parts and any(share.parts.values()):
+                    rows.append((*row(s, reply), share.json(), words))
+            return pd.DataFrame(rows, columns=names)
         if outputs == "log":
             flat = [(s, x) for s, _, records in done for x in records]
-            return pd.DataFrame([(name, i, s, x) for i, (s, x) in enumerate(flat)], columns=["component", "place", "seq", "record"])
+            return pd.DataFrame([(name, i, s, x) for i, (s, x) in enumerate(flat)], columns=names)
         records = {}
         for x in machine_sketch.rewrite(m):
             records.setdefault(x[1], []).append(x)
         rows = [(name, k, m.keys[k].type, m.keys[k].value if m.keys[k].type == "string" else machine_sketch.dump(m.keys[k].type, m.keys[k].value), m.keys[k].expire, records[k]) for _, _, k in ordered(m)]
-        out = pd.DataFrame(rows, columns=["component", "key", "type", "value", "expire_at_ms", "records"])
+        out = pd.DataFrame(rows, columns=names)
         out["expire_at_ms"] = out["expire_at_ms"].astype("Int64")
         return out
 
-    return commands.groupBy("component").applyInPandas(step, schema)
+    def merge(key, frame):
+        from tessera.plans.machine import error
+
+        words = [bytes(x) for x in frame["words"].iloc[0]]
+        errors = [e for e in frame["error"] if e]
+        base = error(errors[0]) if errors else None
+        parts = [p for p in map(json.loads, frame["share"]) if p]
+        reply = base or (_merged(words, Reply("int", 0), parts) if parts else _machine(b"").run(words))
+        return pd.DataFrame([row(int(key[0]), reply)], columns=[x.split()[0] for x in REPLIES.split(", ")])
+
+    found = commands.groupBy("component").applyInPandas(step, schema)
+    if outputs != "replies":
+        return found
+    if not everywhere:
+        return found.drop("share", "words")
+    found = _written(found)
+    return found.where("words is null").drop("share", "words").unionByName(found.where("words is not null").groupBy("seq").applyInPandas(merge, REPLIES))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    from tessera.plans.ranking import written
+
+    return written(df)
 
 
 def _by_first_key(keyed: DataFrame) -> DataFrame:
@@ -107,7 +241,8 @@ def _by_first_key(keyed: DataFrame) -> DataFrame:
     from tessera.plans import router
 
     if keyed.where(F.size("keys") > 1).isEmpty():
-        return keyed.withColumn("component", F.try_element_at("keys", F.lit(1)))
+        alone = F.when(~router.is_global(), F.concat(F.lit("\0").cast("binary"), F.pmod(F.xxhash64("seq"), F.lit(256)).cast("string").cast("binary")))
+        return keyed.withColumn("component", F.coalesce(F.try_element_at("keys", F.lit(1)), alone))
     return router.components(keyed)
 
 

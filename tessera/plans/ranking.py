@@ -7,28 +7,38 @@ give the offsets.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.stage import Stage
+
 
 def _number(group: list[str]):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         last, done, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in group), strict=True))
-            place = np.empty(len(keys), np.int64)
-            for i, k in enumerate(keys):
-                done = done + 1 if k == last else 0
-                last, place[i] = k, done
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(keys), part, np.int32)), pa.array(place)], names=[*batch.schema.names, "_part", "_place"])
+            n = batch.num_rows
+            new = np.zeros(n, bool)
+            for c in group:
+                # equal neighbours have equal codes; nulls count as equal
+                codes = pc.fill_null(pc.dictionary_encode(batch.column(c)).indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            head = tuple(batch.column(c)[0].as_py() for c in group)
+            new[0] = head != last
+            at = np.arange(n)
+            place = at - np.maximum.accumulate(np.where(new, at, 0))
+            if not new[0]:
+                place[: int(np.argmax(new)) or n] += done
+            done = int(place[-1]) + 1
+            last = tuple(batch.column(c)[n - 1].as_py() for c in group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(place)], names=[*batch.schema.names, "_part", "_place"])
 
     return run
 
@@ -51,13 +61,4 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: st
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` from a table in the folder that driver and executors share: the range bounds are then fixed."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/ranked-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stage(df.sparkSession, "ranked").put(df)

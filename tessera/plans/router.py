@@ -1,20 +1,25 @@
 """Which commands must run in order together.
 
-Two keys belong together when a command, or a transaction, names both. Components come from label propagation over the
-(command, key) edges of multi-key commands; single-key commands need no edges. Global commands split a batch into
-epochs.
+Two keys belong together when a command, or a transaction, names both. Components come from the (command, key) edges of
+multi-key commands; single-key commands need no edges. Commands that look at or change all keys have no component: the
+fold runs them in every component and merges the answers.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.ranking import written
+from tessera.plans.components import smallest_reachable
 
 #: Commands that look at or change all keys.
-GLOBAL = ["FLUSHDB", "DBSIZE", "KEYS", "SCAN", "INFO", "MEMORY"]
+GLOBAL = ["FLUSHDB", "DBSIZE", "KEYS", "SCAN", "INFO", "MEMORY", "BGREWRITEAOF"]
+
+
+def is_global() -> Column:
+    """A command of all keys; MEMORY with a key is one of that key."""
+    return F.upper("cmd").isin(GLOBAL) & (F.size("keys") == 0)
 
 
 def with_keys(commands: DataFrame) -> DataFrame:
@@ -32,23 +37,15 @@ def with_keys(commands: DataFrame) -> DataFrame:
     return commands.mapInArrow(run, f"{old}, keys array<binary>")
 
 
-def components(commands: DataFrame, rounds: int = 50) -> DataFrame:
-    """``commands`` (with keys) with ``component``: the smallest key that theirs are tied to."""
+def components(commands: DataFrame) -> DataFrame:
+    """``commands`` (with keys) with ``component``: the smallest key that theirs are tied to; commands without keys are dealt over 256 components of their own, and global ones outside transactions have none."""
     block = F.col("tx_id") if "tx_id" in commands.columns else F.lit(None)
     unit = F.coalesce(F.concat(F.lit("t"), block.cast("string")), F.concat(F.lit("s"), F.col("seq").cast("string")))
     tagged = commands.withColumn("_unit", unit)
     edges = tagged.select("_unit", F.explode("keys").alias("_k")).distinct()
-    tied = edges.groupBy("_unit").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b")).where("_a != _b").select("_unit")
-    edges = written(edges.join(tied, "_unit", "left_semi"))
-    labels, last = written(edges.select("_k", F.col("_k").alias("_l")).distinct()), None
-    for _ in range(rounds):
-        joined = edges.join(labels, "_k")
-        least = joined.groupBy("_unit").agg(F.min("_l").alias("_m"))
-        labels = written(edges.join(least, "_unit").groupBy("_k").agg(F.min("_m").alias("_l")))
-        state = labels.agg(F.sum(F.xxhash64("_k", "_l").cast("decimal(38,0)"))).first()[0]
-        if state == last:
-            break
-        last = state
-    first = tagged.withColumn("_k", F.try_element_at("keys", F.lit(1)))
-    own = first.groupBy("_unit").agg(F.min("_k").alias("_f")).join(labels, F.col("_f") == F.col("_k"), "left").select("_unit", F.coalesce("_l", "_f").alias("component"))
-    return tagged.join(own, "_unit").drop("_unit")
+    star = edges.groupBy("_unit").agg(F.min("_k").alias("_a"), F.max("_k").alias("_z")).where("_a != _z").select("_unit", "_a")
+    labels = smallest_reachable(edges.join(star, "_unit").select("_a", F.col("_k").alias("_b")))
+    first = tagged.withColumn("_first", F.try_element_at("keys", F.lit(1)))
+    own = first.groupBy("_unit").agg(F.min("_first").alias("_f")).join(labels, F.col("_f") == F.col("_k"), "left").select("_unit", F.coalesce("_l", "_f").alias("component"))
+    alone = F.when(~is_global() | block.isNotNull(), F.concat(F.lit("\0").cast("binary"), F.pmod(F.xxhash64("_unit"), F.lit(256)).cast("string").cast("binary")))
+    return tagged.join(own, "_unit").withColumn("component", F.coalesce("component", alone)).drop("_unit")

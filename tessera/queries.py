@@ -337,7 +337,7 @@ def list_lmovem(spark, d):
     return lists.lmove(own, pairs, left=True, to_left=False, n=2).groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.sum("value").alias("turns"))
 
 
-@query(f"WITH r AS (SELECT c_custkey AS req, unnest([c_custkey * 3, c_custkey * 2, c_custkey]) AS key, unnest([1, 2, 3]) AS ord FROM customer WHERE c_custkey <= 200), h AS (SELECT req, arg_min(key, ord) AS key FROM r WHERE key IN (SELECT key FROM {_TURNS}) GROUP BY req) SELECT h.req, h.key, x.value FROM h JOIN {_INDEXED} x ON x.key = h.key AND x.idx = 0")
+@query(f"WITH r AS (SELECT c_custkey AS req, unnest([c_custkey * 3, c_custkey * 2, c_custkey]) AS key, unnest([1, 2, 3]) AS ord FROM customer), h AS (SELECT req, arg_min(key, ord) AS key FROM r WHERE key IN (SELECT key FROM {_TURNS}) GROUP BY req) SELECT h.req, h.key, x.value FROM h JOIN {_INDEXED} x ON x.key = h.key AND x.idx = 0")
 def list_lmpop(spark, d):
     c = F.col("c_custkey")
     asked = _t(spark, d, "customer").select(c.alias("req"), F.posexplode(F.array(c * 3, c * 2, c)).alias("ord", "key"))
@@ -669,7 +669,7 @@ def cms_incrby_replies(spark, d):
     return sketches.cms_running(_items(spark, d).select("seq", "key", "item", "n"), 2000, 4)
 
 
-_BLOOM = f"WITH l AS (SELECT * FROM {_LINES}), {_hash128_sql('l', 0x9747B28C)}, bits AS (SELECT item, CAST((a + CAST(b AS UHUGEINT) * i) % 18446744073709551616 % 191744 AS BIGINT) AS bit FROM (SELECT CAST(a AS UHUGEINT) AS a, b, item, unnest(range(0, 7)) AS i FROM m9))"
+_BLOOM = f"WITH l AS (SELECT * FROM {_LINES}), {_hash128_sql('l', 0x9747B28C)}, bits AS (SELECT item, CAST((a + CAST(b AS UHUGEINT) * CAST(i AS UHUGEINT)) % 18446744073709551616 % 191744 AS BIGINT) AS bit FROM (SELECT CAST(a AS UHUGEINT) AS a, b, item, unnest(range(0, 7)) AS i FROM m9))"
 
 
 @query(f"{_BLOOM} SELECT DISTINCT key, bit FROM l JOIN bits USING (item)")

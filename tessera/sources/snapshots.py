@@ -1,11 +1,15 @@
-"""Versioned snapshots: a directory a version, and a pointer that moves when the version is whole.
+"""Versioned snapshots: a directory a version, and a chain of pointers.
 
-The pointer carries a term. A writer that has seen a higher term than its own may not publish (promotion and fencing).
+Pointer n is a file ``pointers/n`` that is made once and never changed: its writer puts the whole text beside it and
+renames it into place, which fails if another writer took n first. The current pointer is the highest one, so a crash
+between two steps leaves the last whole version in force. A pointer carries a term; a writer that has seen a higher
+term than its own may not publish (promotion and fencing).
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +27,42 @@ class SnapshotStore:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def pointer(self) -> dict:
-        path = self._path(f"{self.root}/_pointer")
-        if not self._fs.exists(path):
-            return {"version": 0, "term": 0, "seq": -1}
-        return json.loads(self.spark.read.text(f"{self.root}/_pointer").first()[0])
+        """Facts of the current pointer; ``number`` is its place in the chain."""
+        folder = self._path(f"{self.root}/pointers")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        number = max((int(n) for n in names if n.isdigit()), default=0)
+        if not number:
+            return {"version": 0, "term": 0, "seq": -1, "number": 0}
+        return json.loads(self._read(f"{self.root}/pointers/{number:012d}")) | {"number": number}
+
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def promote(self, term: int) -> None:
         """Take the term; it must be above every term that was published."""
         current = self.pointer()
         if term <= max(current["term"], self.term):
             raise Fenced(f"ERR term {term} is not above the current term {max(current['term'], self.term)}")
+        self._publish(current | {"term": term}, current)
         self.term = term
-        self._publish(current | {"term": term})
 
-    def _publish(self, facts: dict) -> None:
-        """Write aside, then rename over the pointer."""
-        temporary = self._path(f"{self.root}/_pointer.{facts['version']}.{facts['term']}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(facts).encode()))
+    def _publish(self, facts: dict, current: dict) -> None:
+        """The pointer after ``current``, by compare and set: it fails if another writer was faster."""
+        number = current["number"] + 1
+        self._fs.mkdirs(self._path(f"{self.root}/pointers"))
+        aside = self._path(f"{self.root}/pointers/.{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps({k: v for k, v in facts.items() if k != "number"}).encode()))
         out.close()
-        target = self._path(f"{self.root}/_pointer")
-        self._fs.delete(target, False)
-        self._fs.rename(temporary, target)
+        target = self._path(f"{self.root}/pointers/{number:012d}")
+        taken = self._fs.exists(target)
+        if taken or not self._fs.rename(aside, target):
+            self._fs.delete(aside, False)
+            raise Fenced(f"FENCED another writer published pointer {number}")
 
     def save(self, tables: dict[str, DataFrame], seq: int) -> int:
         """Write a new version that covers the log up to ``seq``."""
@@ -52,15 +70,17 @@ class SnapshotStore:
         if current["term"] > self.term:
             raise Fenced("FENCED this node is not the holder of the current term")
         version = current["version"] + 1
+        # a folder of its own, so that two writers of one version do not mix
+        folder = f"version={version}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/version={version}/{name}")
-        self._publish({"version": version, "term": self.term, "seq": seq, "tables": sorted(tables)})
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+        self._publish({"version": version, "folder": folder, "term": self.term, "seq": seq, "tables": sorted(tables)}, current)
         return version
 
     def load(self) -> tuple[dict[str, DataFrame], int]:
         """Tables of the current version, and the last ``seq`` they cover."""
         p = self.pointer()
-        return {t: self.spark.read.parquet(f"{self.root}/version={p['version']}/{t}") for t in p.get("tables", [])}, p["seq"]
+        return {t: self.spark.read.parquet(f"{self.root}/{p['folder']}/{t}") for t in p.get("tables", [])}, p["seq"]
 
     def tail(self, log: DataFrame) -> DataFrame:
         """Commands behind the snapshot; a gap between them is refused."""

@@ -105,3 +105,54 @@ def test_snapshots_and_terms(spark, tmp_path):
         store.save({}, 9)
     with pytest.raises(snapshots.Fenced):
         other.promote(5)
+
+
+def test_commands_over_all_keys(spark):
+    lines = [(None, x) for x in ("SET a 1", "SET b 2", "DBSIZE", "KEYS *", "RPUSH l x", "SCAN 0 COUNT 2", "MEMORY STATS", "INFO", "FLUSHDB", "GET a", "DBSIZE", "SET c 3", "KEYS *", "PING", "SCAN x", "MEMORY USAGE c", "MSET d 1 e 2", "DBSIZE")]
+    lines += [(7, "SET f 1"), (7, "DBSIZE"), (7, "SET g 1"), (None, "DBSIZE")]
+    own = log(spark, lines)
+    found = {r["seq"]: r for r in fold.run(own).collect()}
+    m, want = fold._machine(b""), {}
+    for i, (_, line) in enumerate(lines):
+        m.slots = max(m.slots, i << 10)
+        m.now = 1000 + 10 * i
+        want[i] = fold.row(i, m.run(resp.split_inline(line.encode())))
+    assert found.keys() == want.keys()
+    for i, w in want.items():
+        r = found[i]
+        assert (r["kind"], r["i"], None if r["s"] is None else bytes(r["s"]), r["nested"], r["error"]) == (w[1], w[2], w[3], w[5], w[6]), (i, lines[i])
+    state = {bytes(r["key"]) for r in fold.run(own, "state").collect()}
+    assert state == {b"c", b"d", b"e", b"f", b"g"}
+    again = {bytes(r["key"]) for r in fold.replay(fold.run(own, "log")).collect()}
+    assert again == state
+
+
+def test_rewrite_in_a_log(spark):
+    own = log(spark, [(None, x) for x in ("SET a 1", "INCR a", "SET b 1", "DEL b", "BGREWRITEAOF", "INCR a")])
+    records = sorted((r["seq"], [bytes(x) for x in r["record"]]) for r in fold.run(own, "log").collect())
+    assert records[0] == (4, [b"SET", b"a", b"2"]) and [s for s, _ in records] == [4, 5]
+
+
+def test_a_long_chain_of_tied_keys_is_one_component(spark):
+    from tessera.plans import router
+
+    own = log(spark, [(None, f"LMOVE k{i} k{i + 1} LEFT RIGHT") for i in range(200)] + [(None, "GET other")])
+    found = {bytes(r["component"]) for r in router.components(router.with_keys(own)).collect()}
+    assert found == {b"k0", b"other"}
+
+
+def test_a_crash_before_publishing_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    frame = lambda n: {"strings": spark.createDataFrame([("k", n)], "key string, value long")}
+    store.save(frame(1), 3)
+    monkeypatch.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.save(frame(2), 5)
+    monkeypatch.undo()
+    tables, seq = store.load()
+    assert seq == 3 and tables["strings"].first()["value"] == 1
+    assert store.save(frame(3), 6) == 2 and store.load()[0]["strings"].first()["value"] == 3
+    # a writer that read the pointer before another one published loses
+    late = store.pointer() | {"number": 1}
+    with pytest.raises(snapshots.Fenced):
+        store._publish(late, late)

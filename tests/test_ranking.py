@@ -17,3 +17,14 @@ def test_empty_and_null_groups(spark):
     assert distributed_rank(empty, ["key"], ["v"]).count() == 0
     nulls = spark.createDataFrame([(None, 2), (None, 1), ("a", 1)], "key string, v long")
     assert sorted((r["key"] or "", r["v"], r["rank"]) for r in distributed_rank(nulls, ["key"], ["v"]).collect()) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
+
+
+def test_groups_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(500).select((F.col("id") * 7919 % 23 % 9).alias("a"), F.when(F.col("id") % 4 > 0, F.col("id") % 2).alias("b"), "id")
+        found = distributed_rank(rows, ["a", "b"], ["id"]).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = found.sort_values("id").groupby(["a", "b"], dropna=False).cumcount()
+    assert (found["rank"].loc[want.index] == want).all() and len(found) == 500
