@@ -46,8 +46,8 @@ from tessera.llm.staging import Staging, partitions
 K, NEED, AGREE, SHORT, BLOCK = 40, 5, 3, 24, 512
 #: Similarity 4/5 as a ratio, and how far an estimate from K values may lie below it.
 NUMERATOR, DENOMINATOR, SLACK = 4, 5, 0.4
-#: Rows of 16 to 24 bytes that may be broadcast.
-BROADCAST = 1 << 20
+#: Rows that may be broadcast: some 100 bytes each in memory, so 13 MB at most.
+BROADCAST = 1 << 17
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
