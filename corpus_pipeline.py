@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, exact_dedup, mixing, near_dedup, quality
-from tessera.llm.staging import Staging, table
+from tessera.llm.staging import Staging, fresh, table
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,22 +23,24 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of ``docs`` but for those whose id has verdicts (doc_id, kept) and none that keeps it; null ids count as one id."""
-    gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone, kept = fresh(docs, "_gone"), fresh(docs, "_kept")
+    ids = verdicts.groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias(kept)).where(~F.col(kept)).select(gone)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays; of rows that agree in id and text one stays too."""
     groups = Staging(spark, "pipeline").put(exact_dedup.exact_groups(docs).select("doc_id", "kept", "text_sha256"), "exact")
-    repeated = groups.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again, digest, stays_id, stays_sha = (fresh(docs, x) for x in ("_again", "_digest", "_stays_id", "_stays_sha"))
+    repeated = groups.groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again)
     if repeated.isEmpty():
         return without(docs, groups)
-    again = F.col("doc_id").eqNullSafe(F.col("_again"))
-    single = without(docs.join(repeated, again, "left_anti"), groups)
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), _UP, _LOW), 256)
-    stays = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rest = docs.join(repeated, again, "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
-    rest = rest.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi").drop("_digest")
+    twice = docs["doc_id"].eqNullSafe(F.col(again))
+    single = without(docs.join(repeated, twice, "left_anti"), groups)
+    stays = groups.where("kept").select(F.col("doc_id").alias(stays_id), F.col("text_sha256").alias(stays_sha))
+    own = F.sha2(F.translate(F.coalesce("text", F.lit("")), _UP, _LOW), 256)
+    rest = docs.join(repeated, twice, "left_semi").withColumn(digest, own).dropDuplicates(["doc_id", digest])
+    rest = rest.join(stays, F.col("doc_id").eqNullSafe(F.col(stays_id)) & (F.col(digest) == F.col(stays_sha)), "left_semi").drop(digest)
     return single.unionByName(rest)
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.staging import Staging, partitions
+from tessera.llm.staging import Staging, fresh, partitions
 
 K, NEED, AGREE, SHORT, BLOCK = 40, 5, 3, 24, 512
 #: Similarity 4/5 as a ratio, and how far an estimate from K values may lie below it.
@@ -418,12 +418,12 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     first = members.groupBy(F.col("_label").alias("_l")).agg(F.min(rank).alias("_first"))
     verdicts = members.join(first, F.col("_label") == F.col("_l")).select(F.col("_id").alias("_near_id"), F.col("_hash").alias("_near_hash"), "_rows", (rank == F.col("_first")).alias("_stays"))
     verdicts = job.put(verdicts.where("not _stays or _rows > 1"), "verdicts")
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_near_id")) & (own == F.col("_near_hash"))
-    gone = verdicts.select("_near_id", "_near_hash")
-    single = docs.join(fitting(gone), same, "left_anti")
-    repeated = verdicts.where("_stays").select("_near_id", "_near_hash")
+    own, near_id, near_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), fresh(docs, "_near_id"), fresh(docs, "_near_hash")
+    verdicts = verdicts.withColumnsRenamed({"_near_id": near_id, "_near_hash": near_hash})
+    same = docs[id_col].cast("long").eqNullSafe(F.col(near_id)) & (own == F.col(near_hash))
+    single = docs.join(fitting(verdicts.select(near_id, near_hash)), same, "left_anti")
+    repeated = verdicts.where("_stays").select(near_id, near_hash)
     if repeated.isEmpty():
         return single
-    again = docs.join(fitting(repeated), same, "left_semi").withColumn("_near_hash", own)
-    return single.unionByName(again.dropDuplicates([id_col, "_near_hash"]).drop("_near_hash"))
+    again = docs.join(fitting(repeated), same, "left_semi").withColumn(near_hash, own)
+    return single.unionByName(again.dropDuplicates([id_col, near_hash]).drop(near_hash))

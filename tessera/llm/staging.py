@@ -6,23 +6,19 @@ executor then costs a re-read, never a recomputation with other task boundaries.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.stage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine), a folder of our own that is removed at exit."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        own = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 class Staging:
