@@ -1,24 +1,29 @@
 """Removal of long repeated byte strings by distributed prefix doubling.
 
-Ranking every byte position would shuffle many times the input, so positions are thinned first, in a way that depends
-on content only: the anchor of a start p is the leftmost smallest 16-byte gram in the 96 grams from p on. Equal strings
-have equal anchors at equal offsets, and no two neighbouring anchors are more than 96 bytes apart. The text between
-two anchors is a phrase; its hash is the rank of the anchor at offset one.
-
-Doubling: Spark range-sorts (rank, next rank) pairs of positions; a pair that stands alone is unique and its position
-is out; the others get a rank for the pair, and the covered length doubles with the partner that stands where the
-run ends. A position is past the threshold when its run would exceed ``REACH`` bytes, the length that every repeat of
-``LENGTH`` bytes is sure to cover behind its anchor. What is left is a superset of the anchors of repeats.
-
-An exact check follows. The starts that share an anchor form a block. Blocks are grouped by the digest of all bytes
-that their starts cover: equal blocks repeat as a whole. A block that stands alone is compared start by start with one
-block of each group that agrees on the bytes which all strings through the anchor cover. Digests are 128-bit BLAKE2b.
-
-Documents meet the candidates in joins on (id, text hash); a hot passage spreads over as many keys as it has blocks,
-and a text is only joined where it holds a candidate. Nothing is collected.
+Positions are thinned first, in a way that depends on content only: the anchor of a start p is the leftmost smallest
+8-byte gram in the 96 grams from p on. Equal strings have equal anchors at equal offsets, and no two neighbouring
+anchors are more than 96 bytes apart. The text between two anchors is a phrase, the first run of its anchor. (To rank
+every byte instead would send 16 bytes a position and round: 27 times the input in each of nine rounds.)
+
+Doubling: a round takes the pair (rank of the run behind a position, rank of the run that follows it), range-partitions
+and sorts all pairs, and gives equal pairs one new rank, for a run of twice as many phrases. A pair that stands alone
+is unique and its position is out; a position is past the threshold when its run would exceed ``REACH`` bytes, which
+is what every repeat of ``LENGTH`` bytes is sure to hold in whole phrases behind its anchor.
+
+The last two rounds rank the exact strings, whose pairs are (bytes before the anchor, bytes from it on), named by
+64-bit hashes each. First whole blocks: the starts of one anchor, with all bytes that they cover. A block whose pair
+repeats repeats at every start. A block that is alone, but shares the bytes that all strings through its anchor cover,
+is taken start by start: each start's pair stands for its 400 bytes, is sorted among all others and is removed if it
+repeats; one block of each repeated pair takes part for all its copies.
+
+Positions never travel: a task sorts its own pairs, sends each distinct one once, and gets ranks in the same order, so
+a passage that a third of all documents hold costs one pair a task. Texts that hold a candidate are joined by (id, text
+hash). Nothing is collected; broadcasts are hinted only for tables counted at 131072 rows or fewer.
 
 Defined results: null counts as empty; texts under ``LENGTH`` bytes keep all bytes; rows that agree in id and text are
-copies of each other and lose their bytes; matches never cross rows; extra columns are ignored.
+copies of each other and lose their bytes; a null id is an id of its own; a table without rows gives none; matches never
+cross rows; a text of any length is taken whole, and needs some 60 bytes of memory a byte; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,44 +32,50 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.staging import Staging, partitions
+from tessera.llm.near_dedup import BROADCAST
+from tessera.llm.staging import Staging
 
-LENGTH, GRAM, WINDOW = 400, 16, 96
-#: Bytes behind an anchor that hold only whole phrases in every repeat, and bytes behind it that every repeat holds.
+LENGTH, GRAM, WINDOW = 400, 8, 96
+#: Bytes behind an anchor that hold only whole phrases in every repeat, and bytes from it on that every repeat holds.
 REACH, CORE = LENGTH - 2 * WINDOW - GRAM + 1, LENGTH - WINDOW + 1
-#: A place packs position, length of the phrase behind the run, length of the run, and flags: the run ends at the text's last anchor; past the threshold; unique.
-_POS, _GAP, _SPAN, _TAIL, _DONE, _ALONE = 24, 14, 3, 1, 2, 4
-_ROW = "_rank long, _next long, _rid long, _place long"
-_PAIRED = f"{_ROW}, _live boolean"
+#: Bytes of text of one round of NumPy work, of a chunk of the first scan, and of a chunk of texts with candidates.
+PIECE, CHUNK, TEXTS = 1 << 17, 1 << 22, 1 << 21
+#: Names that one task sorts.
+RANGE = 1 << 20
+#: The run ends at the text's last anchor; it is past the threshold; it is unique.
+_TAIL, _DONE, _ALONE = 1, 2, 4
+_U = np.uint64
 
 
 def _anchor_of(data: np.ndarray) -> np.ndarray:
     """Anchor of every start in one buffer; starts too near to the end are left out."""
-    n = len(data)
-    if n < WINDOW + GRAM:
+    n = len(data) - GRAM + 1
+    if n < WINDOW:
         return np.zeros(0, np.int64)
-    x = data.astype(np.uint64)
-    for shift in (1, 2, 4):
-        x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
-    h = textkit.mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + x[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    h = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)) * _U(0x9E3779B97F4A7C15)
+    h >>= _U(33)
+    h <<= _U(32)
+    h |= np.arange(n, dtype=np.uint64)
+    h = h.view(np.int64)
     for shift in (1, 2, 4, 8, 16, 32, 32):
         h = np.minimum(h[:-shift], h[shift:])
-    return (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return h & np.int64(0xFFFFFFFF)
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray):
-    """Of all texts of a chunk: each anchor's place in the chunk, first and last start, and text."""
+    """Of all texts of a piece: each anchor's place in the piece, first and last start, and text."""
     anchor = _anchor_of(data)
     sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
-    start = np.arange(len(anchor))
-    valid = (start + WINDOW + GRAM - 1 <= offsets[text + 1]) & (sizes[text] >= LENGTH)
-    start, text, anchor = start[valid], text[valid], anchor[valid]
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: len(anchor)]
+    # the last starts of a text would look into the next one
+    bound = np.where(sizes >= LENGTH, offsets[1:] - (WINDOW + GRAM - 2), offsets[:-1])
+    start = np.flatnonzero(np.arange(len(anchor)) < bound[text])
+    text, anchor = text[start], anchor[start]
     if not len(start):
         return start, start, start, text
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
@@ -72,201 +83,436 @@ def _blocks(data: np.ndarray, offsets: np.ndarray):
     return anchor[first], start[first], start[last], text[first]
 
 
-def _phrases(batches):
-    """Ranks and lengths of the phrases of every text that is long enough, and the facts that texts without repeats need."""
-    schema = pa.schema([("_rid", pa.int64()), ("_id", pa.int64()), ("_hash", pa.int64()), ("_bytes", pa.int64()), ("_sha", pa.string()), ("_first", pa.int64()), ("_sizes", pa.list_(pa.int16())), ("_ranks", pa.list_(pa.int64()))])
+class _Names:
+    """Hashes of any strings of one buffer."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.power, self.inverse = textkit.powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        weighed = data.astype(np.uint64)
+        weighed += _U(1)
+        weighed *= self.power[:n]
+        np.cumsum(weighed, out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return textkit.mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+
+# ---- names, asked for by chunk and given by range
+
+
+def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows, and which sorted rows differ from the one before."""
+    order = np.argsort(columns[0], kind="stable") if len(columns) == 1 else np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    return order, new
+
+
+class _Asked:
+    """Distinct names of a chunk, sorted by range and name."""
+
+    def __init__(self, columns: list[np.ndarray], ranges: int, spread: int):
+        """spread: how many of the columns choose the range."""
+        order, new = _sorted(columns)
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        rows = order[first]
+        own = [c[rows] for c in columns]
+        home = textkit.mix(own[0].copy())
+        for c in own[1:spread]:
+            home = textkit.mix(home + c)
+        home = ((home >> _U(32)) * _U(ranges)) >> _U(32)
+        by_home = np.argsort(home, kind="stable")
+        place = np.empty(len(by_home), np.int64)
+        place[by_home] = np.arange(len(by_home))
+        #: Place of each row's name among the distinct ones, and a row of each.
+        self.of_row = np.empty(len(order), np.int64)
+        self.of_row[order] = place[group]
+        self.row = rows[by_home]
+        self.columns = [c[by_home] for c in own]
+        self.many = (np.diff(np.append(first, len(order))) > 1)[by_home]
+        self.cut = np.searchsorted(home[by_home], np.arange(ranges + 1, dtype=np.uint64))
+
+    def rows(self, chunk: int):
+        full = np.flatnonzero(np.diff(self.cut))
+        spans = [slice(self.cut[r], self.cut[r + 1]) for r in full]
+        return pa.RecordBatch.from_arrays([
+            pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), pa.array([b"".join(c[s].tobytes() for c in self.columns) for s in spans], pa.binary()),
+            pa.array([np.packbits(self.many[s]).tobytes() for s in spans], pa.binary()),
+        ], names=["_range", "_chunk", "_names", "_many"])
+
+    def given(self, answers: pa.Table, column: str, dtype) -> np.ndarray:
+        """The answers, which have a row for each range, in the order of the distinct names."""
+        by_range = dict(zip(answers.column("_range").to_pylist(), answers.column(column).to_pylist(), strict=True))
+        parts = [np.frombuffer(by_range[r], dtype) for r in np.flatnonzero(np.diff(self.cut)).tolist()]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+_ASKED = "_range int, _chunk long, _names binary, _many binary"
+
+
+def _meet(table: pa.Table, width: int):
+    """All names of a range: its columns, which names are repeated inside a chunk, and the size of each chunk's share."""
+    parts = [np.frombuffer(x, np.uint64).reshape(width, -1) for x in table.column("_names").to_pylist()]
+    sizes = [p.shape[1] for p in parts]
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("_many").to_pylist(), sizes, strict=True)]).astype(bool)
+    return [np.concatenate([p[i] for p in parts]) for i in range(width)], many, np.cumsum([0, *sizes])
+
+
+def _repeated(new: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted names: the group of each, and which groups have several members."""
+    first = np.flatnonzero(new)
+    twice = np.diff(np.append(first, len(new))) > 1
+    if len(first):
+        twice |= np.logical_or.reduceat(many, first)
+    return np.cumsum(new) - 1, twice
+
+
+def _ranks(width: int):
+    """Ranks of a range's names in their order; 0 for a name that stands alone."""
+
+    def run(key, table):
+        columns, many, cut = _meet(table, width)
+        order, new = _sorted(columns)
+        group, twice = _repeated(new, many[order])
+        rank = np.zeros(len(order), np.uint64)
+        rank[order] = np.where(twice[group], (_U(key[0].as_py()) << _U(40)) + group.astype(np.uint64) + _U(1), _U(0))
+        return pa.table({"_chunk": table.column("_chunk"), "_range": table.column("_range"), "_given": pa.array([rank[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    return run
+
+
+_GIVEN = "_chunk long, _range int, _given binary"
+
+
+# ---- the first scan
+
+
+_SCANNED = "_rid long, _id long, _hash long, _bytes long, _sha string, _chunk long, _docs binary, _counts binary, _firsts binary, _sizes binary, _names binary"
+
+
+def _scan(batches):
+    """A row for every text; the first of a chunk carries the phrases of all of the chunk's texts: per text with phrases its row id, their count and the first anchor, per phrase size and name."""
+    schema = pa.schema([("_rid", pa.int64()), ("_id", pa.int64()), ("_hash", pa.int64()), ("_bytes", pa.int64()), ("_sha", pa.string()), ("_chunk", pa.int64())] + [(c, pa.binary()) for c in ("_docs", "_counts", "_firsts", "_sizes", "_names")])
+    held, size, chunk = [], 0, TaskContext.get().partitionId() << 32
+
+    def closed():
+        facts, packed = [x[0] for x in held], [np.concatenate([x[1][i] for x in held]) for i in range(5)]
+        columns = [pa.concat_arrays([f[i] for f in facts]) for i in range(5)]
+        n = len(columns[0])
+        blobs = [pa.array([p.tobytes()] + [None] * (n - 1), pa.binary()) for p in packed]
+        return textkit.output(schema, [*columns, np.full(n, chunk, np.int64), *blobs])
+
     for batch in batches:
-        for row, n, data, offsets in textkit.chunks(batch.column("_text")):
+        for row, n, data, offsets in textkit.chunks(batch.column("_text"), PIECE):
             anchor, _, _, text = _blocks(data, offsets)
-            size = len(data) + 1
-            power, inverse = textkit.powers(size)
-            total = np.zeros(size, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-            inner = np.flatnonzero(text[1:] == text[:-1]) if len(text) else np.zeros(0, np.int64)
+            names = _Names(data)
+            inner = np.flatnonzero(text[1:] == text[:-1])
             a, b = anchor[inner], anchor[inner + 1] if len(inner) else anchor[:0]
-            ranks = textkit.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)
-            lists = np.searchsorted(text[inner], np.arange(n + 1)).astype(np.int32)
-            first = np.full(n, -1, np.int64)
-            if len(text):
-                heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                first[text[heads]] = anchor[heads] - offsets[text[heads]]
+            docs, first, counts = np.unique(text[inner], return_index=True, return_counts=True)
             raw = data.tobytes()
-            yield textkit.output(schema, [
-                batch.column("_rid").slice(row, n), batch.column("_id").slice(row, n), batch.column("_hash").slice(row, n), np.diff(offsets),
-                pa.array([hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).hexdigest() for i in range(n)], pa.string()), first,
-                pa.ListArray.from_arrays(pa.array(lists), pa.array((b - a).astype(np.int16))), pa.ListArray.from_arrays(pa.array(lists), pa.array(ranks)),
-            ])
+            shas = pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+            rid = batch.column("_rid").slice(row, n)
+            own = rid.to_numpy()[docs], counts.astype(np.int32), (a[first] - offsets[docs]).astype(np.int32), (b - a).astype(np.int16), names.of(a, b)
+            held.append(([rid, batch.column("_id").slice(row, n), batch.column("_hash").slice(row, n), pa.array(np.diff(offsets)), shas], own))
+            size += len(data) + 64 * n
+            if size >= CHUNK:
+                yield closed()
+                held, size, chunk = [], 0, chunk + 1
+    if held:
+        yield closed()
 
 
-def _rows(rank, after, rid, place, live=None):
-    schema = pa.schema([("_rank", pa.int64()), ("_next", pa.int64()), ("_rid", pa.int64()), ("_place", pa.int64())] + [("_live", pa.bool_())] * (live is not None))
-    for at in range(0, len(rank), 200_000):
-        s = slice(at, at + 200_000)
-        yield textkit.output(schema, [rank[s], after[s], rid[s], place[s]] + ([live[s]] if live is not None else []))
+# ---- doubling
 
 
-def _spread(batches):
-    """A row for each phrase."""
-    for batch in batches:
-        counts = np.diff(batch.column("_ranks").offsets.to_numpy())
-        if not counts.sum():
-            continue
-        sizes = batch.column("_sizes").flatten().to_numpy().astype(np.int64)
-        ranks = batch.column("_ranks").flatten().to_numpy()
-        rid = np.repeat(batch.column("_rid").to_numpy(), counts)
-        ends = np.cumsum(sizes)
-        heads = np.cumsum(counts) - counts
-        before = ends - sizes
-        own = counts > 0
-        start = before - np.repeat(before[heads[own]], counts[own]) + np.repeat(batch.column("_first").to_numpy(), counts)
-        tail = np.zeros(len(ranks), np.int64)
-        tail[(heads + counts)[own] - 1] = _TAIL
-        gap = np.where(tail > 0, 0, np.append(sizes[1:], 0))
-        yield from _rows(ranks, np.zeros(len(ranks), np.int64), rid, (start << _POS) | (gap << _GAP) | (sizes << _SPAN) | tail)
+_STATE = {"_rid": np.int64, "_pos": np.int32, "_gap": np.int16, "_span": np.int16, "_flag": np.uint8, "_rank": np.uint64, "_next": np.uint64}
+_STATES = "_chunk long, " + ", ".join(f"{c} binary" for c in _STATE) + ", _live long"
+
+
+def _array(table, column: str, dtype, row: int = 0) -> np.ndarray:
+    return np.frombuffer(table.column(column)[row].as_buffer(), dtype)
+
+
+def _ask_phrases(ranges: int):
+    def run(batches):
+        for batch in batches:
+            for i, chunk in enumerate(batch.column("_chunk").to_pylist()):
+                yield _Asked([_array(batch, "_names", np.uint64, i)], ranges, 1).rows(chunk)
 
+    return run
 
-def _all(batches):
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return None
-    return [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("_rank", "_next", "_rid", "_place")]
 
+def _pairs(table, row: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rank pairs of the positions that are neither unique nor past the threshold."""
+    todo = (_array(table, "_flag", np.uint8, row) & (_DONE | _ALONE)) == 0
+    return [_array(table, c, np.uint64, row)[todo] for c in ("_rank", "_next")], todo
 
-def _rerank(first: bool):
-    """Pairs come sorted: the others than the unique ones get a rank for the pair. Unique ones go in the first round and are marked later, as partners ask how far they reach. Pairs at a partition's ends may go on in its neighbour and count as repeated."""
 
+def _ask_pairs(ranges: int):
     def run(batches):
-        rows = _all(batches)
-        if rows is None:
-            return
-        rank, after, rid, place = rows
-        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (after[1:] != after[:-1])])
-        alone = new & np.append(new[1:], True)
-        alone[0] = alone[-1] = False
-        over = (place & (_DONE | _ALONE)) > 0
-        alone &= ~over
-        named = textkit.mix(rank.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + after.view(np.uint64)).view(np.int64)
-        rank, place = np.where(over, rank, named), np.where(alone, place | _ALONE, place)
-        keep = ~alone if first else np.ones(len(rank), bool)
-        yield from _rows(rank[keep], np.zeros(int(keep.sum()), np.int64), rid[keep], place[keep])
+        for batch in batches:
+            for i, chunk in enumerate(batch.column("_chunk").to_pylist()):
+                yield _Asked(_pairs(batch, i)[0], ranges, 2).rows(chunk)
 
     return run
 
 
-def _pair(batches):
-    """Rows come sorted by text and place: each takes the rank of the row that stands where its run ends. A partner that is missing was unique from the first round on."""
-    rows = _all(batches)
-    if rows is None:
-        return
-    rank, _, rid, place = rows
-    pos, gap, span, flags = place >> _POS, (place >> _GAP) & 0x3FF, (place >> _SPAN) & 0x7FF, place & 7
-    text = np.cumsum(np.concatenate([[0], rid[1:] != rid[:-1]]))
-    key, want = (text << 40) + pos, (text << 40) + pos + span
-    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+def _paired(chunk, rid, pos, gap, span, flag, rank) -> pa.Table:
+    """Positions (sorted by text and place) with the rank of the run that follows theirs, if they go on."""
+    pos, gap, span, flag = pos.astype(np.int64), gap.astype(np.int64), span.astype(np.int64), flag.astype(np.int64)
+    n = len(pos)
+    text = np.cumsum(np.concatenate([[0], rid[1:] != rid[:-1]])) if n else np.zeros(0, np.int64)
+    key, want = (text << 32) + pos, (text << 32) + pos + span
+    at = np.minimum(np.searchsorted(key, want), max(0, n - 1))
     there = (key[at] == want) & (span > 0)
+    # a position that is missing was unique by its first phrase, whose size is the gap
     reach = span + np.where(there, span[at], gap)
-    over = (flags & (_DONE | _ALONE)) > 0
-    done = ~over & (((flags & _TAIL) > 0) | (there & ((flags[at] & _DONE) > 0)) | (reach > REACH))
-    alone = ~over & ~done & (~there | ((flags[at] & _ALONE) > 0))
-    grown = (pos << _POS) | (np.where(there, gap[at], 0) << _GAP) | (reach << _SPAN) | np.where(there, flags[at] & _TAIL, 0)
-    place = np.where(over, place, np.where(done, place | _DONE, np.where(alone, grown | _ALONE, grown)))
-    live = np.zeros(int(text[-1]) + 1, bool)
-    live[text[~(over | done | alone)]] = True
-    yield from _rows(rank, np.where(over | done | alone, 0, rank[at]), rid, place, live[text])
-
-
-def _digests(batches):
-    """For every candidate block: digest of its bytes, of its core, and its place (position, first and last start before it)."""
-    schema = pa.schema([("_whole", pa.binary()), ("_core", pa.int64()), ("_rid", pa.int64()), ("_place", pa.int64())])
+    over = (flag & (_DONE | _ALONE)) > 0
+    done = ~over & (((flag & _TAIL) > 0) | (there & ((flag[at] & _DONE) > 0)) | (reach > REACH))
+    alone = ~over & ~done & (~there | ((flag[at] & _ALONE) > 0))
+    live = ~(over | done | alone)
+    grown = alone | live
+    after = np.where(live, rank[at], _U(0))
+    gap, span = np.where(grown, np.where(there, gap[at], 0), gap), np.where(grown, reach, span)
+    flag = np.where(grown & there, (flag & ~_TAIL) | (flag[at] & _TAIL), flag) | np.where(done, _DONE, 0) | np.where(alone, _ALONE, 0)
+    # a text without live positions only needs those past the threshold
+    still = np.zeros(int(text[-1]) + 1 if n else 0, bool)
+    still[text[live]] = True
+    keep = still[text] | ((flag & _DONE) > 0)
+    columns = (rid, pos, gap, span, flag, rank, after)
+    out = {"_chunk": pa.array([chunk], pa.int64()), **{c: pa.array([x[keep].astype(t).tobytes()], pa.binary()) for (c, t), x in zip(_STATE.items(), columns, strict=True)}, "_live": pa.array([int(live.sum())], pa.int64())}
+    return pa.table(out)
+
+
+def _first_round(ranges: int):
+    """Positions whose phrase repeats, paired."""
+
+    def run(key, phrases, answers):
+        asked = _Asked([_array(phrases, "_names", np.uint64)], ranges, 1)
+        rank = asked.given(answers, "_given", np.uint64)[asked.of_row]
+        counts, sizes = _array(phrases, "_counts", np.int32), _array(phrases, "_sizes", np.int16).astype(np.int64)
+        heads = np.cumsum(counts) - counts
+        before = np.cumsum(sizes) - sizes
+        pos = before + np.repeat(_array(phrases, "_firsts", np.int32) - before[heads], counts)
+        flag = np.zeros(len(sizes), np.uint8)
+        flag[heads + counts - 1] = _TAIL
+        gap = np.where(flag > 0, 0, np.append(sizes[1:], 0))
+        keep = rank > 0
+        rid = np.repeat(_array(phrases, "_docs", np.int64), counts)
+        return _paired(key[0].as_py(), rid[keep], pos[keep], gap[keep], sizes[keep], flag[keep], rank[keep])
+
+    return run
+
+
+def _next_round(ranges: int):
+    def run(key, state, answers):
+        pairs, todo = _pairs(state)
+        asked = _Asked(pairs, ranges, 2)
+        found = asked.given(answers, "_given", np.uint64)[asked.of_row]
+        rid, pos, gap, span, flag, rank, _ = (_array(state, c, t).copy() for c, t in _STATE.items())
+        rank[todo] = found
+        places = np.flatnonzero(todo)
+        flag[places[found == 0]] |= _ALONE
+        return _paired(key[0].as_py(), rid, pos, gap, span, flag, rank)
+
+    return run
+
+
+def _found(batches):
+    """The anchors past the threshold, by text."""
+    schema = pa.schema([("_rid", pa.int64()), ("_wanted", pa.binary())])
     for batch in batches:
-        wanted = batch.column("_wanted").to_pylist()
-        for row, n, data, offsets in textkit.chunks(batch.column("_text")):
-            raw = data.tobytes()
-            anchor, low, high, text = _blocks(data, offsets)
-            edges = np.searchsorted(text, np.arange(n + 1))
-            whole, core, rids, places = [], [], [], []
-            for i in range(n):
-                base, end = int(offsets[i]), int(offsets[i + 1])
-                rid = batch.column("_rid")[row + i].as_py()
-                a, p, q = (x[edges[i] : edges[i + 1]] for x in (anchor, low, high))
-                q = np.minimum(q, end - LENGTH)
-                use = (q >= p) & np.isin(a - base, wanted[row + i])
-                for a1, p1, q1 in zip(a[use].tolist(), p[use].tolist(), q[use].tolist(), strict=True):
-                    whole.append(hashlib.blake2b(raw[p1 : q1 + LENGTH], digest_size=16, salt=bytes((a1 - p1, q1 - p1))).digest())
-                    core.append(int.from_bytes(hashlib.blake2b(raw[a1 : a1 + CORE], digest_size=8).digest(), "big", signed=True))
-                    rids.append(rid)
-                    places.append((a1 - base) << 16 | (a1 - p1) << 8 | (a1 - q1))
-            yield textkit.output(schema, [pa.array(whole, pa.binary()), np.array(core, np.int64), np.array(rids, np.int64), np.array(places, np.int64)])
-
-
-def _starts(batches):
-    """Digest of the string at every start of the blocks in question."""
-    schema = pa.schema([("_digest", pa.binary()), ("_rid", pa.int64()), ("_start", pa.int64()), ("_single", pa.bool_())])
+        for i in range(batch.num_rows):
+            over = (_array(batch, "_flag", np.uint8, i) & _DONE) > 0
+            rid, pos = _array(batch, "_rid", np.int64, i)[over], _array(batch, "_pos", np.int32, i)[over]
+            heads = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else []
+            ends = [*heads[1:], len(rid)] if len(rid) else []
+            yield textkit.output(schema, [rid[heads] if len(rid) else rid, pa.array([pos[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())])
+
+
+# ---- exact strings
+
+
+_PACKED = "_chunk long, _ids array<long>, _text binary, _ends binary, _counts binary, _wanted binary"
+
+
+def _pack(batches):
+    """Texts with candidates, a row a chunk."""
+    schema = pa.schema([("_chunk", pa.int64()), ("_ids", pa.list_(pa.int64())), ("_text", pa.binary())] + [(c, pa.binary()) for c in ("_ends", "_counts", "_wanted")])
+    ids, texts, wanted, size, chunk = [], [], [], 0, TaskContext.get().partitionId() << 32
+
+    def closed():
+        ends, counts = np.cumsum([len(x) for x in texts]), np.array([len(x) >> 2 for x in wanted], np.int32)
+        return textkit.output(schema, [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (b"".join(texts), ends.astype(np.int64).tobytes(), counts.tobytes(), b"".join(wanted)))])
+
     for batch in batches:
-        columns = batch.column("_rid").to_pylist(), textkit.texts(batch.column("_text")), batch.column("_blocks").to_pylist()
-        for rid, raw, blocks in zip(*columns, strict=True):
-            digest, starts, single = [], [], []
-            for block in blocks:
-                place, alone = block["_place"], block["_single"]
-                a = place >> 16
-                for p in range(a - (place >> 8 & 255), a - (place & 255) + 1):
-                    digest.append(hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest())
-                    starts.append(p)
-                    single.append(alone)
-            yield textkit.output(schema, [pa.array(digest, pa.binary()), np.full(len(starts), rid, np.int64), np.array(starts, np.int64), np.array(single, bool)])
-
-
-def merged(spans) -> list[tuple[int, int]]:
-    """Maximal runs of (start, end) intervals; touching ones are one run."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
-def _cut(batches):
+        for i, raw, own in zip(batch.column("_id").to_pylist(), textkit.texts(batch.column("_text")), batch.column("_wanted").to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(raw)
+            wanted.append(own)
+            size += len(raw) + 64
+            if size >= TEXTS:
+                yield closed()
+                ids, texts, wanted, size, chunk = [], [], [], 0, chunk + 1
+    if texts:
+        yield closed()
+
+
+class _Candidates:
+    """Candidate blocks of a packed chunk: text, anchor, first and last start, and the names of core, left and right part."""
+
+    def __init__(self, row):
+        self.data = np.frombuffer(row["_text"], np.uint8)
+        self.ends = np.concatenate([[0], np.frombuffer(row["_ends"], np.int64)])
+        counts = np.frombuffer(row["_counts"], np.int32)
+        wanted = np.sort((np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) + np.frombuffer(row["_wanted"], np.int32))
+        self.pieces, found, doc = [], [], 0
+        while doc < len(counts):
+            upto = max(doc + 1, int(np.searchsorted(self.ends, self.ends[doc] + PIECE, side="right")) - 1)
+            base = int(self.ends[doc])
+            data, offsets = self.data[base : self.ends[upto]], self.ends[doc : upto + 1] - base
+            a, p, q, text = _blocks(data, offsets)
+            q = np.minimum(q, offsets[text + 1] - LENGTH)
+            key = ((text.astype(np.int64) + doc) << 32) + a - offsets[text]
+            at = np.minimum(np.searchsorted(wanted, key), max(0, len(wanted) - 1))
+            use = (q >= p) & (wanted[at] == key) if len(wanted) else np.zeros(len(a), bool)
+            a, p, q, text = a[use], p[use], q[use], text[use]
+            names = _Names(data)
+            found.append((text.astype(np.int64) + doc, a + base, p + base, q + base, names.of(a, a + CORE), names.of(p, a), names.of(a, q + LENGTH), np.full(len(a), len(self.pieces))))
+            self.pieces.append((base, names))
+            doc = upto
+        self.doc, self.a, self.p, self.q, core, left, right, self.piece = (np.concatenate([x[i] for x in found]) for i in range(8))
+        self.names = [core, left, right]
+
+    def starts(self, blocks: np.ndarray):
+        """Every start of the blocks: block, place, and the names of the bytes before the anchor and from it on."""
+        count = self.q[blocks] - self.p[blocks] + 1
+        owner = np.repeat(blocks, count)
+        place = np.repeat(self.p[blocks] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        left, right = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64)
+        for k, (base, names) in enumerate(self.pieces):
+            at = np.flatnonzero(self.piece[owner] == k)
+            s, a = place[at] - base, self.a[owner[at]] - base
+            left[at], right[at] = names.of(s, a), names.of(a, s + LENGTH)
+        return owner, place, [left, right]
+
+
+#: What is known of a block after the round of whole blocks: alone even in its core; repeated; alone, its starts may repeat; repeated, and its starts stand for its copies.
+_NONE, _EVERY, _OPEN, _STANDS = 0, 1, 2, 3
+
+
+def _ask_blocks(ranges: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _Asked(_Candidates(row).names, ranges, 1).rows(row["_chunk"])
+
+    return run
+
+
+def _judge(key, table):
+    """Whole blocks of a range, core by core."""
+    columns, many, cut = _meet(table, 3)
+    order, new = _sorted(columns)
+    group, twice = _repeated(new, many[order])
+    core = columns[0][order]
+    new_core = np.concatenate([[True], core[1:] != core[:-1]]) if len(core) else np.zeros(0, bool)
+    of_core = np.cumsum(new_core) - 1
+    heads = np.flatnonzero(new)
+    different = np.bincount(of_core[heads]) if len(core) else np.zeros(0, np.int64)
+    single = np.bincount(of_core[heads], ~twice) if len(core) else np.zeros(0)
+    asked = ((different > 1) & (single > 0))[of_core]
+    verdict = np.where(twice[group], np.where(asked & new, _STANDS, _EVERY), np.where(different[of_core] > 1, _OPEN, _NONE)).astype(np.uint8)
+    out = np.empty(len(order), np.uint8)
+    out[order] = verdict
+    return pa.table({"_chunk": table.column("_chunk"), "_range": table.column("_range"), "_given": pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "_open": pa.array([int((out[a:b] > _EVERY).sum()) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int64())})
+
+
+def _verdicts(candidates: _Candidates, answers: pa.Table, ranges: int):
+    asked = _Asked(candidates.names, ranges, 1)
+    verdict = asked.given(answers, "_given", np.uint8)
+    # one block stands for its copies in the chunk too
+    taken = np.sort(asked.row[verdict > _EVERY])
+    return verdict[asked.of_row], taken
+
+
+def _ask_starts(ranges: int, finer: int):
+    def run(key, texts, answers):
+        candidates = _Candidates(texts.to_pylist()[0])
+        _, taken = _verdicts(candidates, answers, ranges)
+        return pa.Table.from_batches([_Asked(candidates.starts(taken)[2], finer, 2).rows(key[0].as_py())])
+
+    return run
+
+
+def _cut(ranges: int, finer: int):
     schema = pa.schema([("_id", pa.int64()), ("_bytes", pa.int64()), ("_sha", pa.string()), ("_spans", pa.list_(pa.int64()))])
-    for batch in batches:
-        shas, spans, sizes = [], [], []
-        for raw, cut in zip(textkit.texts(batch.column("_text")), batch.column("_cut").to_pylist(), strict=True):
-            runs = merged((x["_a"], x["_b"]) for x in cut or ())
-            h, at = hashlib.sha256(), 0
-            for a, b in runs:
+
+    def run(key, texts, answers):
+        row = texts.to_pylist()[0]
+        c = _Candidates(row)
+        whole = pa.compute.equal(answers.column("_round"), 1)
+        verdict, taken = _verdicts(c, answers.filter(whole), ranges)
+        owner, place, names = c.starts(taken)
+        asked = _Asked(names, finer, 2)
+        again = asked.given(answers.filter(pa.compute.invert(whole)), "_given", np.uint64)[asked.of_row] > 0
+        again &= verdict[owner] == _OPEN
+        every = (verdict == _EVERY) | (verdict == _STANDS)
+        doc = np.concatenate([c.doc[every], c.doc[owner[again]]])
+        # texts are set apart by one byte, so that runs of neighbours do not touch
+        low = np.concatenate([c.p[every], place[again]]) + doc
+        high = np.concatenate([c.q[every], place[again]]) + LENGTH + doc
+        order = np.argsort(low, kind="stable")
+        low, high, doc = low[order], np.maximum.accumulate(high[order]) if len(order) else high, doc[order]
+        head = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]])) if len(low) else np.zeros(0, np.int64)
+        tail = np.append(head[1:], len(low)) - 1 if len(low) else head
+        run_doc, run_low, run_high = doc[head], low[head] - doc[head], high[tail] - doc[head]
+        edges = np.searchsorted(run_doc, np.arange(len(c.ends)))
+        raw, shas, spans = row["_text"], [], []
+        for i in range(len(c.ends) - 1):
+            h, at, own = hashlib.sha256(), int(c.ends[i]), []
+            for a, b in zip(run_low[edges[i] : edges[i + 1]].tolist(), run_high[edges[i] : edges[i + 1]].tolist(), strict=True):
                 h.update(raw[at:a])
                 at = b
-            h.update(raw[at:])
+                own += [a - int(c.ends[i]), b - int(c.ends[i])]
+            h.update(raw[at : int(c.ends[i + 1])])
             shas.append(h.hexdigest())
-            spans.append([x for run in runs for x in run])
-            sizes.append(len(raw))
-        yield textkit.output(schema, [batch.column("_id"), sizes, shas, spans])
+            spans.append(own)
+        return pa.Table.from_batches([textkit.output(schema, [pa.array(row["_ids"], pa.int64()), np.diff(c.ends), shas, spans])])
+
+    return run
+
+
+# ---- the operator
 
 
-def _double(staging: Staging, rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The positions past the threshold, and the names of the tables that hold them.
+def _fits(written: DataFrame) -> bool:
+    return written.limit(BROADCAST + 1).count() <= BROADCAST
 
-    Rounds of sorting pairs, dropping unique ones and reranking, until all that are left are past the threshold.
 
-    Only rows that are neither past it nor unique are sorted; texts without such rows leave the rounds.
-    """
-    n, level, found, tables = partitions(staging.spark), 0, None, []
-    order = ["_rank", "_next", "_rid", "_place"]
-    over = F.col("_place").bitwiseAND(_DONE | _ALONE) != 0
+def _double(staging: Staging, scanned: DataFrame) -> tuple[DataFrame, str]:
+    """The positions past the threshold, and the name of the table that holds them."""
+    phrases = scanned.where("_names is not null").select("_chunk", "_docs", "_counts", "_firsts", "_sizes", "_names")
+    n = phrases.agg(F.sum(F.octet_length("_names"))).first()[0] or 0
+    ranges, level = max(1, -(-n // (8 * RANGE))), 0
+    asked = phrases.select("_chunk", "_names").mapInArrow(_ask_phrases(ranges), _ASKED)
+    answers = asked.groupBy("_range").applyInArrow(_ranks(1), _GIVEN)
+    state = staging.put(phrases.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_first_round(ranges), _STATES), "level0")
     while True:
-        todo = rows.where(~over) if level else rows
-        ranked = todo.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_rerank(not level), _ROW)
-        if level:
-            ranked = ranked.unionByName(rows.where(over))
-        tables.append(f"level{level}")
-        paired = staging.put(ranked.repartition(n, "_rid").sortWithinPartitions("_rid", "_place").mapInArrow(_pair, _PAIRED), tables[-1])
-        past = paired.where(~F.col("_live") & (F.col("_place").bitwiseAND(_ALONE) == 0)).select("_rid", "_place")
-        found = past if found is None else found.unionByName(past)
-        rows = paired.where("_live").drop("_live")
-        if rows.isEmpty():
-            return found, tables
-        level += 1
+        live = state.agg(F.sum("_live")).first()[0] or 0
+        if not live:
+            return state, f"level{level}"
+        ranges, level = max(1, -(-live // RANGE)), level + 1
+        asked = state.select("_chunk", "_flag", "_rank", "_next").mapInArrow(_ask_pairs(ranges), _ASKED)
+        answers = asked.groupBy("_range").applyInArrow(_ranks(2), _GIVEN)
+        state = staging.put(state.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_next_round(ranges), _STATES), f"level{level}")
+        staging.drop(f"level{level - 1}")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,43 +520,31 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     staging = Staging(spark, "suffix")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    keyed = rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_phrases, "_rid long, _id long, _hash long, _bytes long, _sha string, _first long, _sizes array<short>, _ranks array<long>")
-    keyed = staging.put(keyed, "phrases")
-    spread = keyed.where(F.size("_ranks") > 0).select("_rid", "_first", "_sizes", "_ranks").mapInArrow(_spread, _ROW)
-    found, levels = _double(staging, spread)
-
-    wanted = found.groupBy("_rid").agg(F.collect_list(F.shiftright("_place", _POS)).alias("_wanted"))
-    facts = keyed.select("_rid", "_id", "_hash", "_bytes", "_sha")
-    wanted = facts.select(F.col("_rid").alias("_r"), F.col("_id").alias("_i"), F.col("_hash").alias("_h")).join(wanted, F.col("_r") == F.col("_rid")).drop("_r")
-    wanted = wanted.groupBy("_i", "_h").agg(F.min(F.struct("_rid", "_wanted")).alias("_x")).select("_i", "_h", "_x._rid", "_x._wanted")
-    wanted = staging.put(wanted, "wanted")
-    staging.drop(*levels)
-    texts = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_rid", "_id", "_hash", "_text", "_wanted")
-    texts = staging.put(texts, "texts")
-
-    blocks = staging.put(texts.select("_rid", "_text", "_wanted").mapInArrow(_digests, "_whole binary, _core long, _rid long, _place long"), "blocks")
-    groups = blocks.groupBy("_whole").agg(F.min("_core").alias("_core"), F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rid", "_place")).alias("_x"))
-    groups = staging.put(groups.select("_whole", "_core", "_n", "_x._rid", "_x._place"), "groups")
-    cores = groups.groupBy("_core").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_least")).where("_c > 1 and _least = 1").select(F.col("_core").alias("_k"))
-    open_ = groups.join(cores, F.col("_core") == F.col("_k")).groupBy("_rid").agg(F.collect_list(F.struct("_place", (F.col("_n") == 1).alias("_single"))).alias("_blocks"))
-    once = texts.select("_rid", "_text").join(open_.withColumnRenamed("_rid", "_r"), F.col("_rid") == F.col("_r")).drop("_r")
-    starts = staging.put(once.mapInArrow(_starts, "_digest binary, _rid long, _start long, _single boolean"), "starts")
-    twice = starts.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_digest").alias("_d"))
-    some = starts.where("_single").join(twice, F.col("_digest") == F.col("_d")).select("_rid", F.col("_start").alias("_a"), (F.col("_start") + LENGTH).alias("_b"))
-    some = staging.put(some, "some")
-    staging.drop("starts")
-
-    again = groups.where("_n > 1").select(F.col("_whole").alias("_w"))
-    a = F.shiftright("_place", 16)
-    every = blocks.join(again, F.col("_whole") == F.col("_w")).select("_rid", (a - F.shiftright("_place", 8).bitwiseAND(255)).alias("_a"), (a - F.col("_place").bitwiseAND(255) + LENGTH).alias("_b"))
-    cut = every.unionByName(some).groupBy(F.col("_rid").alias("_r")).agg(F.collect_set(F.struct("_a", "_b")).alias("_cut"))
-    cut = staging.put(cut, "cut")
-    staging.drop("blocks", "groups", "some")
-
-    changed = texts.select("_rid", "_id", "_text").join(cut, F.col("_rid") == F.col("_r"), "left").select("_id", "_text", "_cut")
-    changed = changed.mapInArrow(_cut, "_id long, _bytes long, _sha string, _spans array<long>")
-    with_text = wanted.select(F.col("_i"), F.col("_h"))
-    same = facts.join(with_text, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_anti").select("_id", "_bytes", "_sha", F.array().cast("array<long>").alias("_spans"))
+    scanned = staging.put(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_scan, _SCANNED), "scanned")
+    facts = scanned.select("_rid", "_id", "_hash", "_bytes", "_sha")
+    state, name = _double(staging, scanned)
+
+    wanted = state.select("_rid", "_pos", "_flag").mapInArrow(_found, "_rid long, _wanted binary")
+    wanted = facts.select(F.col("_rid").alias("_r"), F.col("_id").alias("_i"), F.col("_hash").alias("_h")).join(wanted, F.col("_r") == F.col("_rid"))
+    wanted = staging.put(wanted.groupBy("_i", "_h").agg(F.min(F.struct("_rid", "_wanted")).alias("_x")).select("_i", "_h", "_x._wanted"), "wanted")
+    staging.drop(name)
+    keys, same_row = wanted.select("_i", "_h"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    small = _fits(wanted)
+    some = rows.join(F.broadcast(keys), same_row, "left_semi") if small else rows
+    packed = staging.put(some.join(wanted, same_row).select("_id", "_text", "_wanted").mapInArrow(_pack, _PACKED), "packed")
+
+    n = packed.agg(F.sum(F.octet_length("_wanted"))).first()[0] or 0
+    ranges = max(1, -(-n // (4 * RANGE)))
+    asked = packed.mapInArrow(_ask_blocks(ranges), _ASKED)
+    judged = staging.put(asked.groupBy("_range").applyInArrow(_judge, f"{_GIVEN}, _open long"), "judged")
+    finer = max(1, -(-(judged.agg(F.sum("_open")).first()[0] or 0) * WINDOW // (2 * RANGE)))
+    verdicts = judged.drop("_open")
+    asked = packed.groupBy("_chunk").cogroup(verdicts.groupBy("_chunk")).applyInArrow(_ask_starts(ranges, finer), _ASKED)
+    again = asked.groupBy("_range").applyInArrow(_ranks(2), _GIVEN)
+    answers = verdicts.withColumn("_round", F.lit(1)).unionByName(again.withColumn("_round", F.lit(2)))
+    changed = packed.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_cut(ranges, finer), "_id long, _bytes long, _sha string, _spans array<long>")
+
+    same = facts.join(F.broadcast(keys) if small else keys, same_row, "left_anti").select("_id", "_bytes", "_sha", F.array().cast("array<long>").alias("_spans"))
     return same.unionByName(changed).select(F.col("_id").alias(id_col), F.col("_bytes").alias("n_bytes"), F.col("_sha").alias("kept_sha256"), F.col("_spans").alias("spans"))
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -314,3 +315,32 @@ def test_empty_tables(spark):
     assert [df.count() for df in made] == [0] * len(made)
     full = documents(spark)
     assert not any(r["contaminated"] for r in rows(decontam.contamination_report(full, bench)))
+
+
+def brute_repeats(texts, length=400):
+    """Removed bytes and runs of every text, by a plain count of all strings of that length."""
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        cut = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                cut[i : i + length] = True
+        cut[len(t)] = False
+        kept = bytes(b for b, c in zip(t, cut, strict=False) if not c)
+        out.append((len(t), int(cut.sum()), int((cut[:-1] & ~np.concatenate([[False], cut[:-2]])).sum()) if len(t) else 0, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_over_many_chunks_and_ranges(spark, monkeypatch):
+    """Shared passages at every kind of offset, periodic texts, and names dealt over many ranges and chunks."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))[: 5 * n]
+    shared = [text(n) for n in (75, 80, 81, 90, 160, 400)]
+    texts = [text(rng.randint(0, 60)) + "".join(rng.choice(shared)[rng.randint(0, 30) :] + text(rng.randint(0, 20)) for _ in range(rng.randint(0, 3))) for _ in range(60)]
+    texts += ["ab" * 700, "ab" * 701, "x" * 399, "x" * 400, "x" * 401, "x" * 900, shared[0][:399], shared[1] * 4, "", "é" * 500, texts[3], texts[3]]
+    monkeypatch.setattr(suffix_dedup, "RANGE", 97)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.repeat_report(docs))}
+    assert found == dict(enumerate(brute_repeats([t.encode() for t in texts])))
