@@ -46,7 +46,7 @@ REACH, CORE = LENGTH - 2 * WINDOW - GRAM + 1, LENGTH - WINDOW + 1
 #: Bytes of text of one round of NumPy work, of a chunk of the first scan, and of a chunk of texts with candidates.
 PIECE, CHUNK, TEXTS = 1 << 17, 1 << 22, 1 << 21
 #: Names that one task sorts.
-RANGE = 1 << 20
+RANGE = 1 << 18
 #: The run ends at the text's last anchor; it is past the threshold; it is unique.
 _TAIL, _DONE, _ALONE = 1, 2, 4
 _U = np.uint64
