@@ -201,6 +201,74 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) >= 200
 
 
+def samples(pattern):
+    """Texts that a rule's regex matches: every branch once, the rest as short as it goes."""
+    import re._parser as parser
+
+    def words(tree):
+        out = [""]
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                own = [chr(arg)]
+            elif name == "IN":
+                own = ["7" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            elif name == "ANY":
+                own = ["q"]
+            elif name == "BRANCH":
+                own = [x for branch in arg[1] for x in words(branch)]
+            elif name == "SUBPATTERN":
+                own = words(arg[3])
+            else:
+                low, _, inner = arg
+                own = [x * max(low, 0) for x in words(inner)] if low else ["", *words(inner)]
+            out = [a + b for a in out for b in own][:40]
+        return out
+
+    return words(parser.parse(pattern))
+
+
+@pytest.mark.parametrize("label", sorted({r.label for r in license_scan.rules()}))
+def test_every_license_rule_matches(label):
+    """Each branch of each rule is found behind its keywords."""
+    for rule in license_scan.rules():
+        if rule.label != label:
+            continue
+        for text in samples(rule.regex):
+            assert any(f" {k}" in f" {text}" for k in rule.keywords), (rule, text)
+            _, _, found = license_scan.scan(f"zzz {text} zzz".encode())
+            assert found and min(d.start for d in found) >= 1, (rule, text)
+            _, compiled, _ = license_scan._compiled()
+            assert any(r.label == label and c.search(f" {text} ") for r, c in zip(license_scan.rules(), compiled, strict=True))
+
+
+def test_license_rules_by_hand():
+    assert len(license_scan.SIGNATURES) >= 200 and len({r for _, _, r in license_scan.SIGNATURES}) == len(license_scan.SIGNATURES)
+
+
+def test_license_scan_of_a_megabyte_of_places():
+    import time
+
+    start = time.perf_counter()
+    n, base, found = license_scan.scan(b"cc by " * 170_000)
+    assert n == 340_000 and len(base) == 170_000 and len(found) == 170_000 and time.perf_counter() - start < 10
+    nested = [license_scan.Detection(i, 200_000 - i, "a", i % 7) for i in range(100_000)]
+    start = time.perf_counter()
+    kept = license_scan.suppress(nested)
+    assert kept and time.perf_counter() - start < 10
+
+
+def test_license_suppression_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        found = [license_scan.Detection(a, a + rng.randint(1, 9), rng.choice("abc"), rng.choice((10, 20, 30))) for a in (rng.randint(0, 20) for _ in range(rng.randint(0, 25)))]
+        kept = []
+        for d in sorted(set(found), key=lambda d: (d.priority, d.start - d.end, d.start, d.label)):
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert license_scan.suppress(found) == sorted(kept, key=lambda d: (d.start, d.end, d.label))
+
+
 def test_license_suppression():
     d = license_scan.Detection
     assert license_scan.suppress([d(0, 9, "a", 10), d(2, 5, "b", 20), d(8, 12, "c", 20), d(0, 9, "z", 10)]) == [d(0, 9, "a", 10), d(8, 12, "c", 20)]
@@ -213,21 +281,12 @@ def test_language_model(spark):
     counts = collections.Counter(w for i, t in every if not held(i) for w in t)
     n, v = sum(counts.values()), len(counts)
     want = sorted((str(i), held(i), len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in every)
-    for dictionary in (1 << 17, 3):
-        found = rows(lm_score.score_documents(docs, dictionary=dictionary))
+    for own in (docs, docs.repartition(5)):
+        found = rows(lm_score.score_documents(own))
         assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
 
 
-def test_language_model_is_a_distribution():
-    """Class and slot shares sum to one in every context."""
-    cells = np.random.default_rng(1).normal(size=lm_score.CELLS).astype(np.float32)
-    model = lm_score.Model(cells)
-    contexts = np.zeros((3, 16), np.int32)
-    p, q, _ = model.both(contexts, np.arange(16, dtype=np.int32))
-    assert np.allclose(p.sum(1), 1, atol=1e-5) and np.allclose(q.sum(1), 1, atol=1e-5)
-
-
 def test_quality_gradients():
     rng = np.random.default_rng(3)
     model = quality.GatedAttention(1)
