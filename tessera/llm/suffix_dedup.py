@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
+from tessera.llm.asking import Asked, sorted_rows
 from tessera.llm.near_dedup import BROADCAST
 from tessera.llm.staging import Staging
 
@@ -102,57 +103,6 @@ class _Names:
 # ---- names, asked for by chunk and given by range
 
 
-def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows, and which sorted rows differ from the one before."""
-    order = np.argsort(columns[0], kind="stable") if len(columns) == 1 else np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
-    return order, new
-
-
-class _Asked:
-    """Distinct names of a chunk, sorted by range and name."""
-
-    def __init__(self, columns: list[np.ndarray], ranges: int, spread: int):
-        """spread: how many of the columns choose the range."""
-        order, new = _sorted(columns)
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        rows = order[first]
-        own = [c[rows] for c in columns]
-        home = textkit.mix(own[0].copy())
-        for c in own[1:spread]:
-            home = textkit.mix(home + c)
-        home = ((home >> _U(32)) * _U(ranges)) >> _U(32)
-        by_home = np.argsort(home, kind="stable")
-        place = np.empty(len(by_home), np.int64)
-        place[by_home] = np.arange(len(by_home))
-        #: Place of each row's name among the distinct ones, and a row of each.
-        self.of_row = np.empty(len(order), np.int64)
-        self.of_row[order] = place[group]
-        self.row = rows[by_home]
-        self.columns = [c[by_home] for c in own]
-        self.many = (np.diff(np.append(first, len(order))) > 1)[by_home]
-        self.cut = np.searchsorted(home[by_home], np.arange(ranges + 1, dtype=np.uint64))
-
-    def rows(self, chunk: int):
-        full = np.flatnonzero(np.diff(self.cut))
-        spans = [slice(self.cut[r], self.cut[r + 1]) for r in full]
-        return pa.RecordBatch.from_arrays([
-            pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), pa.array([b"".join(c[s].tobytes() for c in self.columns) for s in spans], pa.binary()),
-            pa.array([np.packbits(self.many[s]).tobytes() for s in spans], pa.binary()),
-        ], names=["_range", "_chunk", "_names", "_many"])
-
-    def given(self, answers: pa.Table, column: str, dtype) -> np.ndarray:
-        """The answers, which have a row for each range, in the order of the distinct names."""
-        by_range = dict(zip(answers.column("_range").to_pylist(), answers.column(column).to_pylist(), strict=True))
-        parts = [np.frombuffer(by_range[r], dtype) for r in np.flatnonzero(np.diff(self.cut)).tolist()]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype)
-
-
 _ASKED = "_range int, _chunk long, _names binary, _many binary"
 
 
@@ -178,7 +128,7 @@ def _ranks(width: int):
 
     def run(key, table):
         columns, many, cut = _meet(table, width)
-        order, new = _sorted(columns)
+        order, new = sorted_rows(columns)
         group, twice = _repeated(new, many[order])
         rank = np.zeros(len(order), np.uint64)
         rank[order] = np.where(twice[group], (_U(key[0].as_py()) << _U(40)) + group.astype(np.uint64) + _U(1), _U(0))
@@ -243,7 +193,7 @@ def _ask_phrases(ranges: int):
     def run(batches):
         for batch in batches:
             for i, chunk in enumerate(batch.column("_chunk").to_pylist()):
-                yield _Asked([_array(batch, "_names", np.uint64, i)], ranges, 1).rows(chunk)
+                yield Asked([_array(batch, "_names", np.uint64, i)], ranges, 1).batch(chunk)
 
     return run
 
@@ -258,7 +208,7 @@ def _ask_pairs(ranges: int):
     def run(batches):
         for batch in batches:
             for i, chunk in enumerate(batch.column("_chunk").to_pylist()):
-                yield _Asked(_pairs(batch, i)[0], ranges, 2).rows(chunk)
+                yield Asked(_pairs(batch, i)[0], ranges, 2).batch(chunk)
 
     return run
 
@@ -294,7 +244,7 @@ def _first_round(ranges: int):
     """Positions whose phrase repeats, paired."""
 
     def run(key, phrases, answers):
-        asked = _Asked([_array(phrases, "_names", np.uint64)], ranges, 1)
+        asked = Asked([_array(phrases, "_names", np.uint64)], ranges, 1)
         rank = asked.given(answers, "_given", np.uint64)[asked.of_row]
         counts, sizes = _array(phrases, "_counts", np.int32), _array(phrases, "_sizes", np.int16).astype(np.int64)
         heads = np.cumsum(counts) - counts
@@ -313,7 +263,7 @@ def _first_round(ranges: int):
 def _next_round(ranges: int):
     def run(key, state, answers):
         pairs, todo = _pairs(state)
-        asked = _Asked(pairs, ranges, 2)
+        asked = Asked(pairs, ranges, 2)
         found = asked.given(answers, "_given", np.uint64)[asked.of_row]
         rid, pos, gap, span, flag, rank, _ = (_array(state, c, t).copy() for c, t in _STATE.items())
         rank[todo] = found
@@ -411,7 +361,7 @@ def _ask_blocks(ranges: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield _Asked(_Candidates(row).names, ranges, 1).rows(row["_chunk"])
+                yield Asked(_Candidates(row).names, ranges, 1).batch(row["_chunk"])
 
     return run
 
@@ -419,7 +369,7 @@ def _ask_blocks(ranges: int):
 def _judge(key, table):
     """Whole blocks of a range, core by core."""
     columns, many, cut = _meet(table, 3)
-    order, new = _sorted(columns)
+    order, new = sorted_rows(columns)
     group, twice = _repeated(new, many[order])
     core = columns[0][order]
     new_core = np.concatenate([[True], core[1:] != core[:-1]]) if len(core) else np.zeros(0, bool)
@@ -435,7 +385,7 @@ def _judge(key, table):
 
 
 def _verdicts(candidates: _Candidates, answers: pa.Table, ranges: int):
-    asked = _Asked(candidates.names, ranges, 1)
+    asked = Asked(candidates.names, ranges, 1)
     verdict = asked.given(answers, "_given", np.uint8)
     # one block stands for its copies in the chunk too
     taken = np.sort(asked.row[verdict > _EVERY])
@@ -446,7 +396,7 @@ def _ask_starts(ranges: int, finer: int):
     def run(key, texts, answers):
         candidates = _Candidates(texts.to_pylist()[0])
         _, taken = _verdicts(candidates, answers, ranges)
-        return pa.Table.from_batches([_Asked(candidates.starts(taken)[2], finer, 2).rows(key[0].as_py())])
+        return pa.Table.from_batches([Asked(candidates.starts(taken)[2], finer, 2).batch(key[0].as_py())])
 
     return run
 
@@ -460,7 +410,7 @@ def _cut(ranges: int, finer: int):
         whole = pa.compute.equal(answers.column("_round"), 1)
         verdict, taken = _verdicts(c, answers.filter(whole), ranges)
         owner, place, names = c.starts(taken)
-        asked = _Asked(names, finer, 2)
+        asked = Asked(names, finer, 2)
         again = asked.given(answers.filter(pa.compute.invert(whole)), "_given", np.uint64)[asked.of_row] > 0
         again &= verdict[owner] == _OPEN
         every = (verdict == _EVERY) | (verdict == _STANDS)
