@@ -17,7 +17,8 @@ link still shares ``AGREE``. Lists of one member are never posted.
 * Long lists are contracted: each member is compared with the pivot that it meets most often, confirmed links are
   followed to components, and lists inside one component are finished. What is left is compared in the tasks, block by
   block: a link that shares no short list shares ``AGREE`` long ones, so members of fewer than that are out, and each
-  asks in its shortest lists only. Pairs leave a task once, and only if they pass both filters below.
+  asks in its shortest lists only. The filters below and the sets themselves decide in the task, by the upper halves of
+  the hashes, and only a forest of links leaves it. Should full sets not confirm one of these, whole sets decide anew.
 
 Two filters stand before the full sets: the union-sketch estimate, and a parity bitmap (one bit for each residue of the
 shingle hashes, flipped by every shingle). Two bitmaps differ in no more bits than the sets differ in shingles, so the
@@ -160,10 +161,12 @@ def _neighbours(batches):
 
 def _full_sets(width: int):
     def run(batches):
-        schema = pa.schema([("_c", pa.int64()), ("_full", pa.binary())])
+        schema = pa.schema([("_c", pa.int64()), ("_full", pa.binary()), ("_half", pa.binary())])
         for batch in batches:
             for row, n, data, offsets in textkit.chunks(batch.column("_text"), textkit.CHUNK >> 2):
-                yield textkit.output(schema, [batch.column("_c").slice(row, n), pa.array([own.tobytes() for own in shingle_sets(data, offsets, width)], pa.binary())])
+                sets = list(shingle_sets(data, offsets, width))
+                halves = [np.unique(own >> np.uint64(32)).astype(np.uint32).tobytes() for own in sets]
+                yield textkit.output(schema, [batch.column("_c").slice(row, n), pa.array([own.tobytes() for own in sets], pa.binary()), pa.array(halves, pa.binary())])
 
     return run
 
@@ -171,14 +174,15 @@ def _full_sets(width: int):
 _PAIR = pa.schema([("_x", pa.int64()), ("_y", pa.int64())])
 
 
+def _alike(p: np.ndarray, q: np.ndarray) -> bool:
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return DENOMINATOR * shared >= NUMERATOR * (len(p) + len(q) - shared)
+
+
 def _similar(batches):
     """Pairs whose full sets reach the similarity."""
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("_full_x"), batch.column("_full_y"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(DENOMINATOR * shared >= NUMERATOR * (len(p) + len(q) - shared))
+        ok = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("_full_x"), batch.column("_full_y"), strict=True)]
         yield textkit.output(_PAIR, [batch.column("_x"), batch.column("_y")]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -205,27 +209,54 @@ def _grid(members: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Block:
+    """Members of a list: class, label, set (whole or its halves), lists, and parity bitmaps by their size."""
+
+    def __init__(self, members, k):
+        self.c, self.label, self.sets, self.lists = (list(x) for x in zip(*members, strict=True))
+        self.n = np.array([len(x) for x in self.sets])
+        self.sketch = [x[:k] for x in self.sets]
+        parity = [_parity(x) for x in self.sets]
+        self.bits = np.array([len(x) for x in parity])
+        self.rows = {s: np.flatnonzero(self.bits == s) for s in set(self.bits.tolist())}
+        self.parity = {s: np.frombuffer(b"".join(parity[i] for i in own), np.uint8).reshape(-1, s) for s, own in self.rows.items()}
+
+    def near(self, i: int, other: _Block) -> np.ndarray:
+        """Members of the other block that differ in few enough bits from the i-th."""
+        own, found = int(self.bits[i]), []
+        row = self.parity[own][np.searchsorted(self.rows[own], i)][None]
+        for s, places in other.rows.items():
+            size = min(s, own)
+            apart = np.bitwise_count((_fold(other.parity[s], size) ^ _fold(row, size)).view(np.uint64)).sum(1, dtype=np.int64)
+            found.append(places[(NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (self.n[i] + other.n[places])])
+        return np.concatenate(found)
+
+
 def _compare(value, asked, given, k):
-    """Pairs (asked, given) of one block that may be similar; a pair is given by the smallest open list that both ask in."""
-    (x, la, n, s, p, u), (y, lb, m, t, q, v) = (tuple(zip(*side, strict=True)) for side in (asked, given))
-    n, m, u = np.array(n), np.array(m), np.array(u, object)
-    near = (NUMERATOR * np.maximum(n[:, None], m[None]) <= DENOMINATOR * np.minimum(n[:, None], m[None])) & (np.array(la)[:, None] != np.array(lb)[None])
-    if not near.any():
-        return
-    lists, count = np.unique(np.concatenate([*p, *q]), return_counts=True)
+    """Links of one block that join different labels: a forest, as one path between two labels is enough. A pair is looked at in the smallest open list that both ask in."""
+    x, y = _Block(asked, k), _Block(given, k)
+    apart = np.array(x.label)[:, None] != np.array(y.label)[None]
+    lists, count = np.unique(np.concatenate([*x.lists, *y.lists]), return_counts=True)
     lists = lists[(lists < np.int64(value).view(np.uint64)) & (count > 1)]
     if len(lists):
-        near &= _grid(p, lists) @ _grid(q, lists).T == 0
-    i, j = np.nonzero(near)
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        ok = _may_agree([u[z] for z in a], [v[z] for z in b], n[a] + m[b])
-        for g, h in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-            if _estimate(s[g], t[h], k):
-                yield (x[g], y[h]) if x[g] < y[h] else (y[h], x[g])
+        apart &= _grid(x.lists, lists) @ _grid(y.lists, lists).T == 0
+    root: dict[int, int] = {}
+
+    def find(label):
+        while root.setdefault(label, label) != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    for i in np.flatnonzero(apart.any(1)).tolist():
+        near = x.near(i, y)
+        for j in near[apart[i, near]].tolist():
+            a, b = find(x.label[i]), find(y.label[j])
+            if a != b and _estimate(x.sketch[i], y.sketch[j], k) and _alike(x.sets[i], y.sets[j]):
+                root[a] = b
+                yield (x.c[i], y.c[j]) if x.c[i] < y.c[j] else (y.c[j], x.c[i])
 
 
-def _long_lists(k: int | None):
+def _long_lists(k: int | None, dtype):
     """Rows come sorted by list and block: the asked members of a block are compared with its given ones."""
 
     def finish(key, asked, given):
@@ -237,12 +268,12 @@ def _long_lists(k: int | None):
     def run(batches):
         key, asked, given = None, [], []
         for batch in batches:
-            columns = *(batch.column(x).to_pylist() for x in ("_value", "_block", "_ask", "_c", "_label", "_n")), _arrays(batch.column("_sketch")), _arrays(batch.column("_lists")), batch.column("_bits").to_pylist()
-            for value, block, ask, c, label, n, sketch, lists, bits in zip(*columns, strict=True):
+            columns = *(batch.column(x).to_pylist() for x in ("_value", "_block", "_ask", "_c", "_label", "_set")), _arrays(batch.column("_lists"))
+            for value, block, ask, c, label, own, lists in zip(*columns, strict=True):
                 if (value, block) != key:
                     yield from finish(key, asked, given)
                     key, asked, given = (value, block), [], []
-                (asked if ask else given).append((c, label, n, sketch, np.sort(lists), bits))
+                (asked if ask else given).append((c, label, np.frombuffer(own, dtype), np.sort(lists)))
                 if len(asked) >= BLOCK:
                     yield from finish(key, asked, given)
                     asked = []
@@ -329,12 +360,12 @@ class _Job:
         # rows that agree in id and text are one representative
         if not self.all.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").isEmpty():
             texts = texts.dropDuplicates(["_c"])
-        self.sets = self.put(texts.mapInArrow(_full_sets(self.width), "_c long, _full binary"), "sets")
+        self.sets = self.put(texts.mapInArrow(_full_sets(self.width), "_c long, _full binary, _half binary"), "sets")
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         out = pairs
         for k in ("_x", "_y"):
-            out = out.join(self.sets.withColumnRenamed("_full", f"_full{k}"), F.col(k) == F.col("_c")).drop("_c")
+            out = out.join(self.sets.select("_c", F.col("_full").alias(f"_full{k}")), F.col(k) == F.col("_c")).drop("_c")
         return self.put(out.mapInArrow(_similar, "_x long, _y long").distinct(), name)
 
     def components(self, links: DataFrame, name: str) -> DataFrame:
@@ -367,16 +398,17 @@ class _Job:
         some = asked.groupBy(F.col("_value").alias("_v")).agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).where("_a != _b").select("_v")
         return asked.join(some, F.col("_value") == F.col("_v"), "left_semi")
 
-    def residual(self, lists: DataFrame) -> DataFrame:
-        """Plausible pairs of different labels inside long lists, found block by block."""
+    def residual(self, lists: DataFrame, whole: bool) -> DataFrame:
+        """Links between different labels inside long lists, found block by block from whole sets or from the upper halves of their hashes."""
         sizes = lists.groupBy(F.col("_value"), "_label").agg(F.count(F.lit(1)).alias("_m")).groupBy(F.col("_value").alias("_v")).agg(F.sum("_m").alias("_all"), F.max(F.struct("_m", "_label")).alias("_top"))
         placed = lists.join(sizes, F.col("_value") == F.col("_v")).withColumn("_blocks", F.ceil(F.col("_all") / BLOCK).cast("int")).withColumn("_outside", F.col("_label") != F.col("_top._label"))
-        placed = placed.select("_value", "_c", "_label", "_n", "_lists", "_blocks", "_outside").join(self.reps.select(F.col("_c").alias("_r"), "_sketch", "_bits"), F.col("_c") == F.col("_r")).drop("_r")
-        row = ["_c", "_label", "_n", "_sketch", "_lists", "_bits"]
+        sets = self.sets.select(F.col("_c").alias("_r"), F.col("_full" if whole else "_half").alias("_set"))
+        placed = placed.select("_value", "_c", "_label", "_lists", "_blocks", "_outside").join(sets, F.col("_c") == F.col("_r")).drop("_r")
+        row = ["_c", "_label", "_set", "_lists"]
         given = placed.select("_value", F.pmod(F.xxhash64("_c"), F.col("_blocks")).cast("int").alias("_block"), F.lit(False).alias("_ask"), *row)
         asked = placed.where("_outside").select("_value", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(True).alias("_ask"), *row)
         rows = given.unionByName(asked).repartition(partitions(self.spark), "_value", "_block").sortWithinPartitions("_value", "_block", "_ask")
-        return rows.mapInArrow(_long_lists(self.k), "_x long, _y long").distinct()
+        return rows.mapInArrow(_long_lists(self.k, np.uint64 if whole else np.uint32), "_x long, _y long").distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, k: int | None) -> tuple[_Job, DataFrame]:
@@ -389,12 +421,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, k: int
     job.load_sets(pairs.select(F.col("_x").alias("_c")).union(pairs.select("_y")).union(long).distinct())
     links = job.confirm(pairs, "links")
     labels = job.components(links, "first") if not links.isEmpty() else None
-    still = job.put(job.open_lists(labels), "open")
-    if not still.isEmpty():
-        found = job.confirm(job.put(job.residual(still), "rest"), "found")
-        if not found.isEmpty():
+    for whole in (False, True):
+        still = job.put(job.open_lists(labels), f"open-{whole}")
+        if still.isEmpty():
+            break
+        rest = job.put(job.residual(still, whole), f"rest-{whole}")
+        found = job.confirm(rest, f"found-{whole}")
+        n = found.count()
+        if n:
             known = links if labels is None else labels.select(F.col("_v").alias("_x"), F.col("_label").alias("_y"))
-            labels = job.components(known.unionByName(found), "second")
+            labels = job.components(known.unionByName(found), f"second-{whole}")
+        if n == rest.count():
+            break
+        # halves took two texts for similar that are not, and may have left out a path for it
     classes = job.members.join(labels, F.col("_c") == F.col("_v"), "left").select("_set", F.coalesce("_label", "_c").alias("_label"), "_least") if labels is not None else job.members.select("_set", F.col("_c").alias("_label"), "_least")
     classes = job.put(classes, "labelled")
     least = classes.groupBy(F.col("_label").alias("_l")).agg(F.min("_least").alias("_component"))
