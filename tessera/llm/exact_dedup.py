@@ -1,23 +1,25 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
 Every input partition folds its rows into one run: sorted keys, each with the identifier that stays and a count.
-Runs are then exchanged in rounds over a radix tree of partitions. In round r a partition sends the slice of its run
-whose r-th key digit is d to the partner whose r-th index digit is d, and merges what it gets. After the last round
-the partition index equals the leading digits of every key it holds, so each key stands in exactly one run. Copies
-meet as early as possible: a partition never sends more than one entry a key, so a group that holds a third of all
-rows costs one entry for each partition and round.
+Runs are then exchanged in binomial rounds: in round r the partitions whose numbers differ in the r-th bit alone are
+partners, each keeps the half of its run whose keys have its own bit and sends the other half, and the two sorted runs
+that it then holds are merged, one step a key. After the last round a partition's number equals the leading bits of
+every key it holds, so each key stands in exactly one run. Copies meet as early as possible: a partition never sends
+more than one entry a key, so a group that holds a third of all rows costs one entry for each partition and round.
 
 Keys are verified: the SHA-256 of the folded text is joined by its length and an independent 64-bit hash, and all
 three must agree before two entries count as equal.
 
 Defined results: a null text counts as the empty text; a null id ranks below every id; rows that agree in id and text
-are ranked by their position in the scan, so exactly one row of a group is kept; an empty table gives no rows.
+are ranked by their position in the scan, so exactly one row of a group is kept; an empty table gives no rows; a text of
+any length is taken whole; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from tessera.llm.staging import Staging, partitions
 
 KEY = 48
 _DIGESTS = "_id long, _rid long, _key binary"
-_RUN = "_dest int, _key binary, _id long, _rid long, _n long"
+_RUN = "_dest int, _from int, _key binary, _id long, _rid long, _n long"
 
 
 def _digest(batches):
@@ -45,73 +47,101 @@ def _digest(batches):
 
 
 class _Tree:
-    """Radix tree with ``fan`` children a node and ``rounds`` levels."""
+    """Partitions, a power of two, whose partners in round r differ in bit ``rounds - 1 - r``."""
 
     def __init__(self, wanted: int):
-        bits = max(1, math.ceil(math.log2(max(2, wanted))))
-        self.rounds = math.ceil(bits / 4)
-        self.bits = math.ceil(bits / self.rounds)
-        self.size = 1 << self.bits * self.rounds
+        self.rounds = max(1, math.ceil(math.log2(max(2, wanted))))
+        self.size = 1 << self.rounds
 
-    def send(self, keys: np.ndarray, holder: np.ndarray, r: int) -> np.ndarray:
-        """Partner of each entry in round r: the holder's r-th digit becomes the key's."""
+    def send(self, keys: np.ndarray, holder: int, r: int) -> np.ndarray:
+        """Where each entry stands after round r: the holder's bit becomes the key's."""
         lead = np.frombuffer(keys.tobytes(), ">u4").reshape(len(keys), KEY // 4)[:, 0].astype(np.int64)
-        shift, mask = self.bits * (self.rounds - 1 - r), (1 << self.bits) - 1
-        digit = (lead >> (32 - self.bits * (r + 1))) & mask
-        return (holder & ~(mask << shift)) | (digit << shift)
-
-
-def _merge(keys, ids, missing, rids, counts, largest):
-    """Merge runs: the entry that stays for each key, with the group's count."""
-    order = np.lexsort((rids, ~ids if largest else ids, missing, keys))
-    keys, ids, missing, rids, counts = keys[order], ids[order], missing[order], rids[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], ids[first], missing[first], rids[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
-
-
-def _columns(batch, at: int):
-    raw = batch.column(at)
-    data = b"".join(raw.to_pylist())
-    ids = batch.column(at + 1)
-    return np.frombuffer(data, f"S{KEY}"), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column(at + 2).to_numpy(zero_copy_only=False)
+        shift = self.rounds - 1 - r
+        return (holder & ~(1 << shift)) | (((lead >> (31 - r)) & 1) << shift)
+
+
+class _Run(NamedTuple):
+    """Entries sorted by key, one a key."""
+
+    keys: np.ndarray
+    ids: np.ndarray
+    missing: np.ndarray
+    rids: np.ndarray
+    counts: np.ndarray
+
+    def at(self, places) -> _Run:
+        return _Run(*(x[places] for x in self))
+
+
+def _fold(rows: _Run, largest: bool) -> _Run:
+    """A run of unsorted rows."""
+    rows = rows.at(np.lexsort((rows.rids, ~rows.ids if largest else rows.ids, rows.missing, rows.keys)))
+    first = np.flatnonzero(np.concatenate([[True], rows.keys[1:] != rows.keys[:-1]]))
+    return rows.at(first)._replace(counts=np.add.reduceat(rows.counts, first))
+
+
+def _merge(a: _Run, b: _Run, largest: bool) -> _Run:
+    """Two runs as one: each entry's place is its own plus the number of smaller entries of the other run."""
+    n = len(a.keys) + len(b.keys)
+    place_a = np.arange(len(a.keys)) + np.searchsorted(b.keys, a.keys, "left")
+    place_b = np.arange(len(b.keys)) + np.searchsorted(a.keys, b.keys, "right")
+    both = []
+    for x, y in zip(a, b, strict=True):
+        z = np.empty(n, x.dtype)
+        z[place_a], z[place_b] = x, y
+        both.append(z)
+    both = _Run(*both)
+    again = np.flatnonzero(both.keys[1:] == both.keys[:-1])
+    x, y = both.at(again), both.at(again + 1)
+    id_first = np.where(largest, y.ids < x.ids, x.ids < y.ids)
+    x_stays = np.where(x.missing != y.missing, y.missing, np.where(x.ids != y.ids, id_first, x.rids < y.rids))
+    both.counts[again] += both.counts[again + 1]
+    both.counts[again + 1] = both.counts[again]
+    keep = np.ones(n, bool)
+    keep[again + x_stays] = False
+    return both.at(keep)
+
+
+def _multiway(runs: list[_Run], largest: bool) -> _Run:
+    """All runs as one, by a tournament of merges."""
+    while len(runs) > 1:
+        runs = [_merge(runs[i], runs[i + 1], largest) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
+def _entries(batch) -> _Run:
+    ids = batch.column("_id")
+    counts = batch.column("_n").to_numpy(zero_copy_only=False) if "_n" in batch.schema.names else np.ones(batch.num_rows, np.int64)
+    keys = np.frombuffer(b"".join(batch.column("_key").to_pylist()), f"S{KEY}")
+    return _Run(keys, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column("_rid").to_numpy(zero_copy_only=False), counts)
 
 
 def _runs(tree: _Tree, level: int, largest: bool):
     """Level 0 folds rows into a run; level r merges what round r - 1 has brought."""
 
     def run(batches):
-        parts, last = [], []
+        schema = pa.schema([("_dest", pa.int32()), ("_from", pa.int32()), ("_key", pa.binary()), ("_id", pa.int64()), ("_rid", pa.int64()), ("_n", pa.int64())])
+        held: dict[int, list[_Run]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if level:
-                keys, ids, missing, rids = _columns(batch.select(["_key", "_id", "_rid"]), 0)
-                counts, dest = batch.column("_n").to_numpy(zero_copy_only=False), batch.column("_dest").to_numpy(zero_copy_only=False).astype(np.int64)
-                last.append(dest[:1])
-            else:
-                keys, ids, missing, rids = _columns(batch.select(["_key", "_id", "_rid"]), 0)
-                counts = np.ones(len(keys), np.int64)
-            parts.append(_merge(keys, ids, missing, rids, counts, largest) if not level else (keys, ids, missing, rids, counts))
-            if level:
-                parts[-1] = (*parts[-1], dest)
-        if not parts:
-            return
-        merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        if level:  # partitions can be read together; entries of one key always have one holder
-            holder = dict(zip(merged[0].tolist(), merged[5].tolist(), strict=True))
-            keys, ids, missing, rids, counts = _merge(*merged[:5], largest)
-            dest = np.array([holder[k] for k in keys.tolist()], np.int64)
-        else:
-            keys, ids, missing, rids, counts = _merge(*merged, largest)
-            dest = np.full(len(keys), TaskContext.get().partitionId() % tree.size, np.int64)
-        if level < tree.rounds:
-            dest = tree.send(keys, dest, level)
-        schema = pa.schema([("_dest", pa.int32()), ("_key", pa.binary()), ("_id", pa.int64()), ("_rid", pa.int64()), ("_n", pa.int64())])
-        raw = keys.tobytes()
-        for at in range(0, len(keys), 50_000):
-            part = slice(at, at + 50_000)
-            blobs = [raw[i * KEY : (i + 1) * KEY] for i in range(at, min(at + 50_000, len(keys)))]
-            yield textkit.output(schema, [dest[part].astype(np.int32), pa.array(blobs, pa.binary()), pa.array(ids[part], mask=missing[part]), rids[part], counts[part]])
+            rows = _entries(batch)
+            if not level:
+                held.setdefault(TaskContext.get().partitionId() % tree.size, []).append(_fold(rows, largest))
+                continue
+            # a sender's rows come in order; partitions can be read together
+            dest, sender = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_dest", "_from"))
+            edges = np.flatnonzero(np.concatenate([[True], (dest[1:] != dest[:-1]) | (sender[1:] != sender[:-1]) | (rows.keys[1:] <= rows.keys[:-1]), [True]]))
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                held.setdefault(int(dest[low]), []).append(rows.at(slice(low, high)))
+        for holder, runs in held.items():
+            own = _multiway(runs, largest)
+            dest = tree.send(own.keys, holder, level) if level < tree.rounds else np.full(len(own.keys), holder, np.int64)
+            raw = own.keys.tobytes()
+            for at in range(0, len(own.keys), 50_000):
+                part = slice(at, at + 50_000)
+                blobs = [raw[i * KEY : (i + 1) * KEY] for i in range(at, min(at + 50_000, len(own.keys)))]
+                yield textkit.output(schema, [dest[part].astype(np.int32), np.full(len(blobs), holder, np.int32), pa.array(blobs, pa.binary()), pa.array(own.ids[part], mask=own.missing[part]), own.rids[part], own.counts[part]])
 
     return run
 
