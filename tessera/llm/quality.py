@@ -5,13 +5,16 @@ encoded (shares of byte-class pairs and word statistics, then a learned projecti
 passages, and the weighted sum is scored by a logistic output. Encoder, attention and output are trained together from
 document labels by back-propagation.
 
-Training reads a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, of texts up to
-``train_bytes`` bytes, outside the held-out fold. It takes ``steps`` optimiser steps whatever the size of that sample.
-Scoring is one pass over all documents without a shuffle.
+Training reads a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, outside the held-out
+fold, and of each text ``passages`` passages at even distances (all, if it has no more), so the driver gets some 1 kB
+for each of ``sample`` times ``passages`` passages at most. It takes ``steps`` optimiser steps whatever the size of that
+sample. Scoring is one pass over all documents and all passages, without a shuffle.
 
 Defined results: a null or empty text is one empty passage; a null id counts as the empty text for the fold and is
 never trained on; ids with more than one label take the smallest; without labelled rows, or with one label only, the
-score is the smoothed share of label 1; extra columns are ignored.
+score is the smoothed share of label 1; repeated rows get a row each, and are trained on as often; a table without
+rows gives none; a text of any length is scored whole, in pieces of 1 MB and more only for a longer text, which needs
+some 50 bytes of memory a byte; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -133,12 +136,16 @@ class GatedAttention:
         return self
 
 
-def _bags(batches):
-    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int32()), ("_x", pa.binary())])
-    for batch in batches:
-        for row, n, data, offsets in textkit.chunks(batch.column("_text")):
-            features, first = encode(data, offsets)
-            yield textkit.output(schema, [batch.column("_id").slice(row, n), np.diff(first).astype(np.int32), pa.array([features[first[i] : first[i + 1]].tobytes() for i in range(n)], pa.binary())])
+def _bags(passages: int):
+    def run(batches):
+        schema = pa.schema([("_id", pa.int64()), ("_n", pa.int32()), ("_x", pa.binary())])
+        for batch in batches:
+            for row, n, data, offsets in textkit.chunks(batch.column("_text")):
+                features, first = encode(data, offsets)
+                some = [np.unique(np.linspace(a, b - 1, min(b - a, passages)).astype(np.int64)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield textkit.output(schema, [batch.column("_id").slice(row, n), np.array([len(x) for x in some], np.int32), pa.array([features[x].tobytes() for x in some], pa.binary())])
+
+    return run
 
 
 def _score(model: GatedAttention | None, prior: float):
@@ -157,7 +164,7 @@ def _held(id_col: str, folds: int, held_fold: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held_fold
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, train_bytes: int, steps: int) -> tuple[GatedAttention | None, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_fold: int, sample: int, passages: int, steps: int) -> tuple[GatedAttention | None, float]:
     """The model and the smoothed share of label 1 in the sample."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~_held(id_col, folds, held_fold))
     usable = usable.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("double").alias("_label"))
@@ -167,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if len(set(label.values())) < 2:
         return None, prior
     wanted = docs.sparkSession.createDataFrame([(i,) for i in label], "_want long")  # at most ``sample`` rows
-    rows = docs.where(F.octet_length(text_col) <= train_bytes).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(F.broadcast(wanted), F.col("_id") == F.col("_want"), "left_semi").mapInArrow(_bags, "_id long, _n int, _x binary").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.join(F.broadcast(wanted), F.col("_id") == F.col("_want"), "left_semi").mapInArrow(_bags(passages), "_id long, _n int, _x binary").collect()
     rows.sort(key=lambda r: (r["_id"], r["_x"]))
     bags = [np.frombuffer(r["_x"], np.float32).reshape(r["_n"], FEATURES) for r in rows]
     y = np.array([label[r["_id"]] for r in rows])
@@ -177,9 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return GatedAttention().fit(bags, y, steps=steps), prior
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, passages: int = 16, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
     """One row per document: ``id_col``, held_out, score, predicted."""
-    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes, steps)
+    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, passages, steps)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), _held(id_col, folds, held_fold).alias("_held"), F.col(text_col).alias("_text"))
     scored = rows.mapInArrow(_score(model, prior), "_id long, _held boolean, _score double")
     return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
@@ -195,7 +202,7 @@ def _keep(model: GatedAttention | None, prior: float, text_at: int, threshold: f
     return run
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, train_bytes: int = 1 << 17, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, passages: int = 16, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
-    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, train_bytes, steps)
+    model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, passages, steps)
     return docs.mapInArrow(_keep(model, prior, docs.columns.index(text_col), threshold), docs.schema)

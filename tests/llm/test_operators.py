@@ -310,6 +310,15 @@ def test_quality_on_held_out_labels(spark):
     assert len(found) > 50 and (found["predicted"] == found["quality"]).mean() >= 0.95
 
 
+def test_quality_learns_from_long_texts(spark):
+    """Texts of over 128 kB are trained on, by passages from all over them."""
+    text = lambda good, n: ("plain prose of the best kind " if good else "#### 99 !!! $$$ ") * n
+    docs = spark.createDataFrame([(i, text(i % 2, 12_000)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in rows(quality.score_quality(docs, labels))}
+    assert all(r["predicted"] == i % 2 for i, r in found.items())
+
+
 def test_quality_of_awkward_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
@@ -403,3 +412,20 @@ def test_suffix_dedup_over_many_chunks_and_ranges(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.repeat_report(docs))}
     assert found == dict(enumerate(brute_repeats([t.encode() for t in texts])))
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_runs_merge_as_plain_sets_do(largest):
+    rng = random.Random(2)
+    rows = [(bytes([rng.randint(0, 3), rng.randint(0, 9)]).ljust(48, b"\1"), rng.choice([None, *range(6)]), i) for i in range(400)]
+    runs = []
+    for at in range(0, 400, 37):
+        part = rows[at : at + 37]
+        runs.append(exact_dedup._fold(exact_dedup._Run(np.array([k for k, *_ in part], "S48"), np.array([i or 0 for _, i, _ in part]), np.array([i is None for _, i, _ in part]), np.array([r for *_, r in part]), np.ones(len(part), np.int64)), largest))
+    own = exact_dedup._multiway(runs, largest)
+    groups = collections.defaultdict(list)
+    for k, i, r in rows:
+        groups[k].append((i is None, 0 if i is None else -i if largest else i, r))
+    assert own.keys.tolist() == sorted(groups)
+    assert own.counts.tolist() == [len(groups[k]) for k in sorted(groups)]
+    assert own.rids.tolist() == [min(groups[k])[2] for k in sorted(groups)]
