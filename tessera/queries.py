@@ -617,12 +617,22 @@ def hll_pfmerge(spark, d):
     return sketches.hll_merge(regs, F.lit("both")).select("reg", "rank")
 
 
-@query()
+_SIGMA = "(x + list_sum([pow(x, pow(2, k)) * pow(2, k - 1) for k in range(1, 40)]))"
+_TAU = "(CASE WHEN t = 0 OR t = 1 THEN 0 ELSE (1 - t - list_sum([pow(1 - pow(t, pow(0.5, k)), 2) * pow(0.5, k) for k in range(1, 60)])) / 3 END)"
+
+
+@query(f"""{_HLL}, r AS (SELECT key, reg, max(rank) AS rank FROM l JOIN e USING (item) GROUP BY key, reg),
+f AS (SELECT key, (16384 - count(*)) / 16384.0 AS x, (16384 - count(*) FILTER (rank = 51)) / 16384.0 AS t, coalesce(sum(pow(2, -rank)) FILTER (rank <= 50), 0) AS s FROM r GROUP BY key)
+SELECT key, CAST(floor(16384.0 * 16384.0 / (2 * ln(2)) / (16384 * {_TAU} * pow(2, -50) + s + 16384 * {_SIGMA}) + 0.5) AS BIGINT) AS estimate FROM f""")
 def hll_pfcount(spark, d):
     return sketches.hll_estimate(sketches.hll_registers(_items(spark, d)))
 
 
-@query()
+_IN_ORDER = f"(SELECT l_orderkey * 8 + l_linenumber AS seq, 'flag:' || l_returnflag AS key, {_ITEM} AS item, 1 AS n FROM lineitem)"
+
+
+@query(f"""{_HLL}, p AS (SELECT seq, key, rank, coalesce(max(rank) OVER (PARTITION BY key, reg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY key ORDER BY seq) AS place FROM {_IN_ORDER} JOIN e USING (item))
+SELECT seq, key, CAST(rank > before OR place = 1 AS INT) AS changed FROM p""")
 def hll_pfadd_replies(spark, d):
     return sketches.hll_changed(_items(spark, d)).select("seq", "key", "changed")
 
@@ -664,7 +674,7 @@ def cms_merge_weighted(spark, d):
     return sketches.cms_merge(sketches.cms_cells(_items(spark, d), 2000, 4), weights)
 
 
-@query()
+@query(f"WITH l AS (SELECT * FROM {_LINES}), {_hash32_sql('l', 4)}, c AS (SELECT seq, key, item, n, sum(n) OVER (PARTITION BY key, row, h % 2000 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt FROM {_IN_ORDER} JOIN h USING (item)) SELECT seq, key, item, CAST(n AS BIGINT) AS n, CAST(min(cnt) AS BIGINT) AS estimate FROM c GROUP BY seq, key, item, n")
 def cms_incrby_replies(spark, d):
     return sketches.cms_running(_items(spark, d).select("seq", "key", "item", "n"), 2000, 4)
 
@@ -684,7 +694,7 @@ def bloom_exists(spark, d):
     return sketches.bloom_exists(rows.select(F.lit("flag:A").alias("key"), "item").distinct(), bits, 20000, 0.01)
 
 
-@query()
+@query(f"""{_BLOOM}, f AS (SELECT key, item, min(seq) AS seq FROM {_IN_ORDER} GROUP BY key, item), b AS (SELECT key, item, seq, min(seq) OVER (PARTITION BY key, bit) AS owner FROM f JOIN bits USING (item)), n AS (SELECT key, item FROM b GROUP BY key, item HAVING bool_or(owner = seq)) SELECT key, count(*) AS items FROM n GROUP BY key""")
 def bloom_card(spark, d):
     return sketches.bloom_card(_items(spark, d), 20000, 0.01)
 
@@ -809,3 +819,129 @@ def fold_incrby_replies(spark, d):
     from tessera.plans import fold
 
     return fold.run(_log(spark, d), outputs="replies").select("seq", F.col("i").alias("reply"))
+
+
+# Logs made from the events of each user: the n-th event of a user makes the command that n % count names.
+
+_PLACED = "(SELECT event_id AS seq, 'user:' || user_id AS key, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, row_number() OVER (ORDER BY event_id) - 1 AS every FROM events)"
+
+
+def _placed_log(spark, d, *commands):
+    """(seq, cmd, args): commands are (name, *arguments), each a column or text; the key comes first."""
+    from pyspark.sql import Window
+
+    e = _event_changes(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1)
+    turn = F.pmod(F.col("n"), F.lit(len(commands)))
+    binary = lambda x: (x if not isinstance(x, str) else F.lit(x)).cast("string").cast("binary")
+    cmd, args = F.lit(None).cast("string"), F.lit(None).cast("array<binary>")
+    for i, (name, *rest) in enumerate(commands):
+        cmd = F.when(turn == i, F.lit(name)).otherwise(cmd)
+        args = F.when(turn == i, F.array(binary(F.col("key")), *map(binary, rest))).otherwise(args)
+    return e.select("seq", F.lit(NOW).alias("ts_ms"), F.lit("c").alias("client"), cmd.alias("cmd"), args.alias("args"))
+
+
+def _texts(replies):
+    """(seq, reply): integers, strings, statuses and errors as text, nulls as null."""
+    return replies.select("seq", F.coalesce(F.col("s").cast("string"), F.col("i").cast("string"), "error", F.col("d").cast("string")).alias("reply"))
+
+
+def _replies(spark, d, *commands):
+    from tessera.plans import fold
+
+    return _texts(fold.run(_placed_log(spark, d, *commands)))
+
+
+_LAST = "lag(value) OVER (PARTITION BY key ORDER BY seq)"
+
+
+@query(f"SELECT seq, CASE n % 3 WHEN 0 THEN 'OK' WHEN 1 THEN {_LAST} END AS reply FROM {_PLACED}")
+def fold_getdel(spark, d):
+    return _replies(spark, d, ("SET", F.col("value")), ("GETDEL",), ("GET",))
+
+
+@query(f"SELECT seq, CASE n % 4 WHEN 0 THEN 'OK' WHEN 1 THEN '100' WHEN 2 THEN {_LAST.replace('lag(value)', 'lag(value, 2)')} ELSE '-1' END AS reply FROM {_PLACED}")
+def fold_setex_getex(spark, d):
+    return _replies(spark, d, ("SETEX", "100", F.col("value")), ("TTL",), ("GETEX", "PERSIST"), ("TTL",))
+
+
+@query(f"SELECT seq, CASE n % 3 WHEN 0 THEN CASE WHEN n = 0 THEN NULL ELSE lag(value, 2) OVER (PARTITION BY key ORDER BY seq) END WHEN 1 THEN 'OK' ELSE NULL END AS reply FROM {_PLACED}")
+def fold_set_options(spark, d):
+    """SET with GET, XX and NX: the old value, OK as the key is there, null as it is."""
+    return _replies(spark, d, ("SET", F.col("value"), "GET"), ("SET", F.col("value"), "XX"), ("SET", "never", "NX"))
+
+
+@query(f"SELECT seq, CASE n % 4 WHEN 0 THEN 'OK' WHEN 1 THEN '50000' WHEN 2 THEN 'OK' ELSE '50000' END AS reply FROM {_PLACED}")
+def fold_psetex_keepttl(spark, d):
+    return _replies(spark, d, ("PSETEX", "50000", F.col("value")), ("PTTL",), ("SET", F.col("value"), "KEEPTTL"), ("PTTL",))
+
+
+@query(f"SELECT seq, CASE n % 3 WHEN 0 THEN 'OK' WHEN 1 THEN '1' ELSE '0' END AS reply FROM {_PLACED}")
+def fold_del(spark, d):
+    return _replies(spark, d, ("SET", F.col("value")), ("DEL",), ("UNLINK",))
+
+
+@query(f"SELECT seq, CASE n % 4 WHEN 0 THEN 'OK' WHEN 1 THEN '1.5' WHEN 2 THEN '3' ELSE '3' END AS reply FROM {_PLACED}")
+def fold_incrbyfloat(spark, d):
+    return _replies(spark, d, ("SET", "1"), ("INCRBYFLOAT", "0.5"), ("INCRBYFLOAT", "1.5"), ("GET",))
+
+
+@query(f"SELECT seq, CASE n % 5 WHEN 0 THEN '0' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN '4' ELSE '1' END AS reply FROM {_PLACED}")
+def fold_pushx(spark, d):
+    return _replies(spark, d, ("LPUSHX", F.col("value")), ("RPUSH", F.col("value"), "b"), ("LPUSHX", "a"), ("RPUSHX", "c"), ("DEL",))
+
+
+@query(f"SELECT seq, CASE n % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'ERR item exists' WHEN 2 THEN '1' ELSE '1' END AS reply FROM {_PLACED} WHERE n % 4 <> 1")
+def fold_bloom_reserve(spark, d):
+    """A filter of its own for each turn of four: reserved, filled, asked."""
+    from tessera.plans import fold
+
+    log = _placed_log(spark, d, ("BF.RESERVE", "0.01", "100"), ("GET",), ("BF.ADD", "x"), ("BF.EXISTS", "x"))
+    turn = F.concat(F.col("args")[0], F.lit(":").cast("binary"), F.col("seq").cast("string").cast("binary"))
+    from pyspark.sql import Window
+
+    first = F.first(turn).over(Window.partitionBy(F.col("args")[0], F.col("_turn")).orderBy("seq"))
+    log = log.withColumn("_turn", F.floor((F.row_number().over(Window.partitionBy(F.col("args")[0]).orderBy("seq")) - 1) / 4))
+    log = log.withColumn("args", F.concat(F.array(first), F.slice("args", F.lit(2), F.size("args")))).drop("_turn").where("cmd <> 'GET'")
+    return _texts(fold.run(log))
+
+
+_KEYSPACE = f"""
+WITH p AS (SELECT *, every % 50 AS e FROM {_PLACED}),
+w AS (SELECT seq, key, coalesce(max(seq) FILTER (e = 49) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS epoch, e FROM p),
+f AS (SELECT epoch, key, min(seq) AS first FROM w WHERE e < 47 GROUP BY epoch, key)
+SELECT w.seq, CASE e WHEN 47 THEN CAST((SELECT count(*) FROM f WHERE f.epoch = w.epoch AND f.first < w.seq) AS VARCHAR)
+                     WHEN 48 THEN (SELECT string_agg(f.key, ',' ORDER BY f.first) FROM f WHERE f.epoch = w.epoch AND f.first < w.seq) ELSE 'OK' END AS reply
+FROM w"""
+
+
+@query(_KEYSPACE)
+def fold_keyspace_replies(spark, d):
+    """Of every 50 commands the last three are DBSIZE, KEYS and FLUSHDB, which see and empty all keys."""
+    from pyspark.sql import Window
+
+    from tessera.plans import fold
+
+    e = _event_changes(spark, d)
+    turn = F.pmod(F.row_number().over(Window.orderBy("seq")) - 1, F.lit(50))
+    cmd = F.when(turn < 47, "SET").when(turn == 47, "DBSIZE").when(turn == 48, "KEYS").otherwise("FLUSHDB")
+    args = F.when(turn < 47, F.array(F.col("key").cast("binary"), F.col("value").cast("binary"))).when(turn == 48, F.array(F.lit("*").cast("binary"))).otherwise(F.array().cast("array<binary>"))
+    log = e.select("seq", F.lit(NOW).alias("ts_ms"), F.lit("c").alias("client"), cmd.alias("cmd"), args.alias("args"))
+    found = fold.run(log)
+    names = F.array_join(F.from_json("nested", "array<string>"), ",")
+    return found.select("seq", F.coalesce(F.col("s").cast("string"), F.col("i").cast("string"), names).alias("reply"))
+
+
+@query(f"SELECT seq, CASE every % 4 WHEN 0 THEN 'OK' WHEN 1 THEN CAST(1 + CAST(length(value) AS BIGINT) AS VARCHAR) WHEN 2 THEN 'OK' ELSE CAST(length(lag(value, 2) OVER (ORDER BY seq)) + 1 AS VARCHAR) END AS reply FROM {_PLACED}")
+def fold_transactions(spark, d):
+    """Blocks of four: SET, INCRBY by the value's length, SET elsewhere, GET; a block's own keys tie its commands."""
+    from pyspark.sql import Window
+
+    from tessera.plans import fold
+
+    e = _event_changes(spark, d).withColumn("every", F.row_number().over(Window.orderBy("seq")) - 1)
+    block = F.floor(F.col("every") / 4).cast("long")
+    turn, name = F.pmod(F.col("every"), F.lit(4)), F.concat(F.lit("t"), block.cast("string")).cast("binary")
+    other = F.concat(F.lit("o"), block.cast("string")).cast("binary")
+    cmd = F.when(turn == 1, "INCRBY").when(turn == 3, "GET").otherwise("SET")
+    args = F.when(turn == 0, F.array(name, F.lit("1").cast("binary"))).when(turn == 1, F.array(name, F.length("value").cast("string").cast("binary"))).when(turn == 2, F.array(other, F.col("value").cast("binary"))).otherwise(F.array(name))
+    return _texts(fold.run(e.select("seq", F.lit(NOW).alias("ts_ms"), F.lit("c").alias("client"), block.alias("tx_id"), cmd.alias("cmd"), args.alias("args"))))
