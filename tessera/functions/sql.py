@@ -2,7 +2,8 @@
 
 Geo functions are SQL expressions, which Catalyst inlines. Sketch builders are table-side: ``hll_sketch`` and
 ``cms_sketch`` are grouped aggregates that give the binary image of the exact sketch, which the commands can restore;
-for keys with very many rows use the row forms in ``tessera.operators.sketches``, which fold before the shuffle.
+for keys with very many rows use the row forms in ``tessera.operators.sketches``, which fold before the shuffle. Spark
+takes such aggregates in a query of their own, not beside built-in ones.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ def _bloom_has(images: pd.Series, items: pd.Series) -> pd.Series:
 
 
 def _geo_score(lon: pd.Series, lat: pd.Series) -> pd.Series:
+    lon, lat = lon.astype("float64"), lat.astype("float64")
     inside = (lon.abs() <= geo.LON_MAX) & (lat.abs() <= geo.LAT_MAX)
     return pd.Series([geo.encode(x, y) if ok else None for x, y, ok in zip(lon, lat, inside, strict=True)], dtype="Int64")
 

@@ -142,7 +142,7 @@ def info(sized: DataFrame, options: EngineOptions) -> DataFrame:
 
 def command_catalog(spark: SparkSession) -> DataFrame:
     """COMMAND: name, arity, keys, writes, denyoom."""
-    from tessera.plans import machine_sketch
+    from tessera.plans import machine_admin, machine_sketch  # noqa: F401
 
     rows = [(c.name.lower(), c.arity, c.keys, c.writes, c.grows) for c in machine_sketch.COMMANDS.values()]
     return spark.createDataFrame(rows, "name string, arity int, keys string, writes boolean, denyoom boolean")

@@ -14,10 +14,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.machine import Machine, Reply, keys_of
+from tessera.plans import machine_admin, machine_sketch
+from tessera.plans.machine import Machine, Reply, error, keys_of, ordered
 
 REPLIES = "seq long, kind string, i long, s binary, d double, nested string, error string"
 STATE = "component binary, key binary, type string, value binary, expire_at_ms long, records array<array<binary>>"
@@ -42,8 +44,6 @@ def row(seq: int, reply: Reply) -> tuple:
 
 
 def _machine(seed: bytes) -> Machine:
-    from tessera.plans import machine_sketch  # noqa: F401
-
     return Machine(seed=int.from_bytes(seed[:8].ljust(8, b"\0"), "big"))
 
 
@@ -61,11 +61,9 @@ class _Share:
         if name == "DBSIZE":
             self.parts = {"n": len(m.keys)}
         elif name in ("KEYS", "SCAN"):
-            from tessera.plans.machine import ordered
-
             self.parts = {"keys": [(t, slot, k.decode("latin-1")) for t, slot, k in ordered(m)]}
         elif name == "INFO":
-            self.parts = {"keys": len(m.keys), "expires": sum(e.expire is not None for e in m.keys.values()), "memory": m.memory(), "calls": dict(m.calls)}
+            self.parts = machine_admin.facts(m)
         elif name == "MEMORY":
             self.parts = {"map": [(k.value.decode(), x.value) for k, x in reply.value]} if reply.kind == "map" else None
 
@@ -73,16 +71,21 @@ class _Share:
         return json.dumps(self.parts)
 
 
-def _run(frame: pd.DataFrame, m: Machine, everywhere: list[tuple] = (), shares: list | None = None):
-    """(seq, reply, records) of each command, blocks of a transaction together.
+def rows_of(frame: pd.DataFrame) -> list[tuple]:
+    """(seq, ts_ms, cmd, args, tx_id) of a frame of commands, in order of ``seq``."""
+    frame = frame.sort_values("seq", kind="stable")
+    blocks = frame["tx_id"] if "tx_id" in frame else [None] * len(frame)
+    return [(s, ts, cmd, args, None if t is None or t != t else t) for s, ts, cmd, args, t in zip(frame["seq"], frame["ts_ms"], frame["cmd"], frame["args"], blocks, strict=True)]
+
+
+def _run(commands: list[tuple], m: Machine, everywhere: list[tuple] = (), shares: list | None = None):
+    """(seq, reply, records) of each command (seq, ts_ms, cmd, args, tx_id), blocks of a transaction together.
 
     everywhere: commands over all keys, (place, seq, ts_ms, cmd, args, tx); those whose block is in the frame run there.
     Their shares go to ``shares`` as (seq, words, reply, share).
     """
-    frame = frame.sort_values("seq", kind="stable")
-    blocks = frame["tx_id"] if "tx_id" in frame else pd.Series([None] * len(frame), index=frame.index)
     pending: list = []
-    own = [(seq, seq, ts, cmd, args, None if t is None or t != t else t, False) for seq, ts, cmd, args, t in zip(frame["seq"], frame["ts_ms"], frame["cmd"], frame["args"], blocks, strict=True)]
+    own = [(seq, seq, ts, cmd, args, tx, False) for seq, ts, cmd, args, tx in commands]
     here = {x[5] for x in own}
     rows = sorted([*own, *((*x[:5], None, True) for x in everywhere if x[5] is None or x[5] not in here)], key=lambda x: (x[0], x[1]))
     last = {x[5]: i for i, x in enumerate(rows) if x[5] is not None}
@@ -126,8 +129,6 @@ def _run(frame: pd.DataFrame, m: Machine, everywhere: list[tuple] = (), shares:
 
 def _merged(words: list[bytes], base: Reply, parts: list[dict]) -> Reply:
     """The answer of a command over all keys from the shares of all groups."""
-    from tessera.plans import machine_sketch
-
     name = words[0].upper().decode("latin-1")
     if base.kind == "error" or not parts:
         return base
@@ -137,12 +138,7 @@ def _merged(words: list[bytes], base: Reply, parts: list[dict]) -> Reply:
         m = machine_sketch.catalogue((t, slot, k.encode("latin-1")) for p in parts for t, slot, k in p["keys"])
         return m.run(words)
     if name == "INFO":
-        calls: dict[str, int] = {}
-        for p in parts:
-            for k, n in p["calls"].items():
-                # what runs in every group is counted once
-                calls[k] = max(calls.get(k, 0), n) if k in _EVERYWHERE else calls.get(k, 0) + n
-        return machine_sketch.info(sum(p["keys"] for p in parts), sum(p["expires"] for p in parts), sum(p["memory"] for p in parts), 0, "noeviction", calls, words[1:])
+        return machine_admin.info(machine_admin.added(parts), words[1:])
     totals: dict[str, int] = {}
     for p in parts:
         for k, n in p["map"]:
@@ -184,36 +180,23 @@ def run(commands: DataFrame, outputs: str = "replies", routed: bool = False) ->
         empty = commands.sparkSession.createDataFrame([(None,)], "component binary")
         commands = commands.unionByName(empty, allowMissingColumns=True)
     schema = {"replies": f"{REPLIES}, {_SHARES}", "state": STATE, "log": LOG}[outputs]
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def step(key, frame):
-        from tessera.plans import machine_sketch
-        from tessera.plans.machine import ordered
-
-        name = bytes(key[0] or b"")
+    def step(key, commands):
+        name = key or b""
         m, shares = _machine(name), []
-        done = _run(frame[frame["seq"].notna()], m, everywhere, shares)
+        done = _run(commands, m, everywhere, shares)
         if outputs == "replies":
             shared = {s for s, *_ in shares}
             rows = [(*row(s, r), None, None) for s, r, _ in done if s not in shared]
-            for s, words, reply, share in shares:
-                if key[0] is None or share.parts and any(share.parts.values()):
-                    rows.append((*row(s, reply), share.json(), words))
-            return pd.DataFrame(rows, columns=names)
+            return rows + [(*row(s, reply), share.json(), words) for s, words, reply, share in shares if key is None or share.parts and any(share.parts.values())]
         if outputs == "log":
-            flat = [(s, x) for s, _, records in done for x in records]
-            return pd.DataFrame([(name, i, s, x) for i, (s, x) in enumerate(flat)], columns=names)
+            return [(name, i, s, x) for i, (s, x) in enumerate((s, x) for s, _, records in done for x in records)]
         records = {}
         for x in machine_sketch.rewrite(m):
             records.setdefault(x[1], []).append(x)
-        rows = [(name, k, m.keys[k].type, m.keys[k].value if m.keys[k].type == "string" else machine_sketch.dump(m.keys[k].type, m.keys[k].value), m.keys[k].expire, records[k]) for _, _, k in ordered(m)]
-        out = pd.DataFrame(rows, columns=names)
-        out["expire_at_ms"] = out["expire_at_ms"].astype("Int64")
-        return out
+        return [(name, k, m.keys[k].type, m.keys[k].value if m.keys[k].type == "string" else machine_sketch.dump(m.keys[k].type, m.keys[k].value), m.keys[k].expire, records[k]) for _, _, k in ordered(m)]
 
     def merge(key, frame):
-        from tessera.plans.machine import error
-
         words = [bytes(x) for x in frame["words"].iloc[0]]
         errors = [e for e in frame["error"] if e]
         base = error(errors[0]) if errors else None
@@ -221,7 +204,7 @@ def run(commands: DataFrame, outputs: str = "replies", routed: bool = False) ->
         reply = base or (_merged(words, Reply("int", 0), parts) if parts else _machine(b"").run(words))
         return pd.DataFrame([row(int(key[0]), reply)], columns=[x.split()[0] for x in REPLIES.split(", ")])
 
-    found = commands.groupBy("component").applyInPandas(step, schema)
+    found = _each_component(commands, step, schema)
     if outputs != "replies":
         return found
     if not everywhere:
@@ -246,19 +229,49 @@ def _by_first_key(keyed: DataFrame) -> DataFrame:
     return router.components(keyed)
 
 
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<array<binary>>": pa.list_(pa.list_(pa.binary()))}
+
+
+def _each_component(commands: DataFrame, step, schema: str) -> DataFrame:
+    """``step(component, commands)`` gives the rows of each component, which come together in order of ``seq``. A task holds one component's commands at a time."""
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    block = F.col("tx_id").cast("long") if "tx_id" in commands.columns else F.lit(None).cast("long")
+    rows = commands.select("component", F.col("seq").cast("long").alias("seq"), F.col("ts_ms").cast("long").alias("ts_ms"), "cmd", "args", block.alias("tx_id"))
+
+    def run(batches):
+        def done(key, held, out):
+            out += step(key, held)
+            if len(out) >= 5000:
+                yield batch_of(out)
+                out.clear()
+
+        def batch_of(out):
+            columns = zip(*out, strict=True) if out else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+        now, held, out, begun = None, [], [], False
+        for batch in batches:
+            for key, *command in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if begun and key != now:
+                    yield from done(now, held, out)
+                    held = []
+                now, begun = key, True
+                if command[0] is not None:
+                    held.append(tuple(command))
+        if begun:
+            yield from done(now, held, out)
+        yield batch_of(out)
+
+    return rows.repartition("component").sortWithinPartitions("component", "seq").mapInArrow(run, schema)
+
+
 def replay(log: DataFrame) -> DataFrame:
     """State that a log of (component, place, record) leaves."""
-    rows = log.select("component", F.col("place").alias("seq"), "record")
-
-    def step(key, frame):
-        from tessera.plans import machine_sketch
-        from tessera.plans.machine import ordered
+    rows = log.select("component", F.col("place").alias("seq"), F.lit(0).alias("ts_ms"), F.lit("").alias("cmd"), F.col("record").alias("args"))
 
-        m = _machine(bytes(key[0] or b""))
-        m.replay([[bytes(x) for x in r] for r in frame.sort_values("seq", kind="stable")["record"]])
-        rows = [(k, m.keys[k].type, machine_sketch.dump(m.keys[k].type, m.keys[k].value), m.keys[k].expire) for _, _, k in ordered(m)]
-        out = pd.DataFrame(rows, columns=["key", "type", "image", "expire_at_ms"])
-        out["expire_at_ms"] = out["expire_at_ms"].astype("Int64")
-        return out
+    def step(key, commands):
+        m = _machine(key or b"")
+        m.replay([args for _, _, _, args, _ in commands])
+        return [(k, m.keys[k].type, machine_sketch.dump(m.keys[k].type, m.keys[k].value), m.keys[k].expire) for _, _, k in ordered(m)]
 
-    return rows.groupBy("component").applyInPandas(step, "key binary, type string, image binary, expire_at_ms long")
+    return _each_component(rows, step, "key binary, type string, image binary, expire_at_ms long")

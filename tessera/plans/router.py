@@ -26,7 +26,7 @@ def with_keys(commands: DataFrame) -> DataFrame:
     """``commands`` with ``keys``, by the key rule of each command."""
 
     def run(batches):
-        from tessera.plans import machine_sketch  # noqa: F401
+        from tessera.plans import machine_admin, machine_sketch  # noqa: F401
         from tessera.plans.machine import keys_of
 
         for batch in batches:

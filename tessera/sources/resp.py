@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tessera.functions.text import score_text
 from tessera.plans.machine import Reply
@@ -148,52 +148,158 @@ def encode(reply: Reply, protocol: int = 2) -> bytes:
     return mark + b"%d\r\n" % len(v) + b"".join(encode(x, protocol) for x in v)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Part(InputPartition):
+    """The records of a file that begin in [start, end); both are places where a record may be cut."""
+
+    def __init__(self, path: str, start: int, end: int, size: int):
+        self.path, self.start, self.end, self.size = path, start, end, size
+
+
+#: Bytes read to find the next record, and requests in a row that must parse there.
+_WINDOW, _CHAIN = 1 << 20, 8
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system, root
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files below a path, by name."""
+    from pyarrow import fs
+
+    system, root = _opened(path)
+    info = system.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    found = system.get_file_info(fs.FileSelector(root, recursive=True))
+    prefix = path.rstrip("/")
+    return [(prefix + x.path[len(root.rstrip("/")) :], x.size) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and not x.base_name.startswith((".", "_"))]
+
+
+def next_record(f, at: int, size: int) -> int:
+    """The first place from ``at`` on where a chain of requests begins; ``size`` where there is none."""
+    if at <= 0 or at >= size:
+        return max(0, min(at, size))
+    window = _WINDOW
+    while True:
+        base = max(0, at - 2)
+        f.seek(base)
+        raw = f.read(min(window, size - base))
+        whole = base + len(raw) >= size
+        place = raw.find(b"\r\n*")
+        while place >= 0:
+            seat, steps = place + 2, 0
+            try:
+                while steps < _CHAIN and (found := parse(raw, seat)) is not None:
+                    seat, steps = found[1], steps + 1
+                    if seat < len(raw) and raw[seat] != 42:
+                        raise ProtocolError("not a chain")
+                if steps == _CHAIN or (whole and (steps or seat == len(raw))):
+                    return base + place + 2
+            except ProtocolError:
+                pass
+            place = raw.find(b"\r\n*", place + 1)
+        if whole:
+            return size
+        window *= 4
+
+
+def _read(part: _Part, strict: bool):
+    """(file, offset, seq, cmd, args) of the part's records.
+
+    A part ends where the next one begins. Both find that place on their own; if the records of this one do not lead to
+    it, bytes inside a value have passed for a record, and the read fails rather than give wrong commands.
+    """
+    system, path = _opened(part.path)
+    with system.open_input_file(path) as f:
+        start, stop = next_record(f, part.start, part.size), next_record(f, part.end, part.size)
+        f.seek(start)
+        raw, base, step = b"", start, 1 << 22
+        while base < stop:
+            more = f.read(min(step, part.size - base - len(raw)))
+            raw, at = raw + more, 0
+            while base + at < stop and (found := parse(raw, at)) is not None:
+                words, end = found
+                if words:
+                    yield part.path, base + at, base + at, words[0].decode("latin-1").upper(), words[1:]
+                at = end
+            raw, base, step = raw[at:], base + at, max(1 << 22, len(raw) - at)
+            if not more:
+                if strict:
+                    raise ProtocolError(f"torn record at {base} of {part.path}")
+                return
+        if base != stop:
+            raise ProtocolError(f"records of {part.path} do not lead to {stop}; read it with splitBytes=0")
 
 
 class RespReader(DataSourceReader):
-    """A partition a file. A torn tail is dropped (mode=PERMISSIVE) or refused (mode=FAILFAST)."""
+    """Parts of at most ``splitBytes`` bytes (0: a part a file). A torn tail is dropped (mode=PERMISSIVE) or refused (mode=FAILFAST)."""
 
     def __init__(self, options):
         self.path, self.strict = options["path"], options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.split = int(options.get("splitBytes", options.get("splitbytes", 1 << 26)))
 
     def partitions(self):
-        from pyarrow import fs
+        out = []
+        for path, size in _files(self.path):
+            step = self.split or size
+            out += [_Part(path, at, min(at + step, size), size) for at in range(0, size, step)] if size else []
+        return out or [_Part(self.path, 0, 0, 0)]
 
-        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        info = system.get_file_info(root)
-        if info.type == fs.FileType.File:
-            return [_File(self.path)]
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        prefix = self.path.rstrip("/")
-        return [_File(prefix + x.path[len(root.rstrip("/")) :]) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and not x.base_name.startswith((".", "_"))]
+    def read(self, partition):
+        if partition.size:
+            yield from _read(partition, self.strict)
+
+
+class RespStreamReader(DataSourceStreamReader):
+    """Growing files below a path: an offset is the end of the last whole record of each file."""
+
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self, *_) -> dict:
+        out = {}
+        for path, size in _files(self.path):
+            system, root = _opened(path)
+            with system.open_input_file(root) as f:
+                at, window = size, _WINDOW
+                while at == size and size:
+                    back = max(0, size - window)
+                    at = next_record(f, back, size) if back else 0
+                    if not back:
+                        break
+                    window *= 4
+                f.seek(at)
+                raw, seat = f.read(size - at), 0
+                while (found := parse(raw, seat)) is not None:
+                    seat = found[1]
+                out[path] = at + seat
+        return out
+
+    def partitions(self, start: dict, end: dict):
+        return [_Part(path, start.get(path, 0), at, at) for path, at in sorted(end.items()) if at > start.get(path, 0)]
 
     def read(self, partition):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        with system.open_input_stream(path) as f:
-            raw, base, seq = b"", 0, 0
-            while True:
-                more = f.read(1 << 22)
-                raw += more
-                at = 0
-                while (found := parse(raw, at)) is not None:
-                    words, end = found
-                    if words:
-                        yield partition.path, base + at, seq, words[0].decode("latin-1").upper(), words[1:]
-                        seq += 1
-                    at = end
-                raw, base = raw[at:], base + at
-                if not more:
-                    if raw and self.strict:
-                        raise ProtocolError(f"torn record at {base} of {partition.path}")
-                    return
+        system, path = _opened(partition.path)
+        with system.open_input_file(path) as f:
+            f.seek(partition.start)
+            raw = f.read(partition.end - partition.start)
+        for at, words in parse_all(raw):
+            yield partition.path, partition.start + at, partition.start + at, words[0].decode("latin-1").upper(), words[1:]
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class RespSource(DataSource):
+    """``seq`` is the offset of the record, so it orders the commands of a file."""
+
     @classmethod
     def name(cls):
         return "resp"
@@ -203,3 +309,6 @@ class RespSource(DataSource):
 
     def reader(self, schema):
         return RespReader(self.options)
+
+    def streamReader(self, schema):
+        return RespStreamReader(self.options)

@@ -84,7 +84,22 @@ class SnapshotStore:
 
     def tail(self, log: DataFrame) -> DataFrame:
         """Commands behind the snapshot; a gap between them is refused."""
-        covered = self.pointer()["seq"]
+        return self._after(log, self.pointer()["seq"])
+
+    def pull(self, log: DataFrame, since: int = -1, term: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
+        """What a replica that holds everything up to ``since`` still needs: the tables of the snapshot, none if it is past them, and the commands behind.
+
+        A replica that names a term below the published one follows a writer that was replaced, and is refused.
+        """
+        current = self.pointer()
+        if 0 < term < current["term"]:
+            raise Fenced(f"FENCED term {term} is below the current term {current['term']}")
+        if since >= current["seq"]:
+            return {}, self._after(log, since)
+        return self.load()[0], self._after(log, current["seq"])
+
+    @staticmethod
+    def _after(log: DataFrame, covered: int) -> DataFrame:
         rest = log.where(F.col("seq") > covered)
         facts = rest.agg(F.min("seq"), F.max("seq"), F.count_distinct("seq")).first()
         if facts[0] is not None and (facts[0] != covered + 1 or facts[1] - facts[0] + 1 != facts[2]):

@@ -1,7 +1,8 @@
 """Streams of commands: a fold with state a key, a log sink, and sketches over event-time windows.
 
 Times to live are compared with each command's own ``ts_ms``, never with the clock of the task, so a replay gives the
-same state.
+same state. A key whose time has passed for every command that can still come, by the watermark over ``ts_ms``, leaves
+the state by a timer and gives the DEL record that its next reader would have given.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ class KeyFold(StatefulProcessor):
     """Interpreter of single-key commands; the state is the key's image and time to live."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("image", "image binary, expire long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -37,23 +39,43 @@ class KeyFold(StatefulProcessor):
             m.keys[name].expire = expire
         out = []
         frame = pd.concat(list(rows))
-        for seq, reply, records in fold._run(frame, m):
+        for seq, reply, records in fold._run(fold.rows_of(frame), m):
             out.append((name, *fold.row(seq, reply), records))
         e = m.keys.get(name)
         if e:
             self.state.update((machine_sketch.dump(e.type, e.value), e.expire))
+            if e.expire is not None:
+                self.handle.registerTimer(e.expire)
         elif self.state.exists():
             self.state.clear()
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            expire = self.state.get()[1]
+            # a timer may be of an earlier time to live
+            if expire is not None and expire <= timerValues.getCurrentWatermarkInMs():
+                self.state.clear()
+                out.append((bytes(key[0]), None, "expired", None, None, None, None, None, [[b"DEL", bytes(key[0])]]))
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+        for name, kind in (("seq", "Int64"), ("i", "Int64"), ("d", "Float64")):
+            frame[name] = frame[name].astype(kind)
+        yield frame
+
     def close(self) -> None:
         pass
 
 
-def fold_stream(commands: DataFrame) -> DataFrame:
-    """Replies and log records of a stream of single-key commands (seq, ts_ms, client, cmd, args)."""
+def fold_stream(commands: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Replies and log records of a stream of single-key commands (seq, ts_ms, client, cmd, args).
+
+    late: how far behind the newest ``ts_ms`` a command may come. Rows of kind "expired", without ``seq``, are those of
+    keys that a timer has taken.
+    """
     keyed = router.with_keys(commands).withColumn("key", F.try_element_at("keys", F.lit(1))).where(F.col("key").isNotNull())
-    return keyed.groupBy("key").transformWithStateInPandas(KeyFold(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    timed = keyed.withColumn("_time", F.timestamp_millis("ts_ms")).withWatermark("_time", late)
+    return timed.groupBy("key").transformWithStateInPandas(KeyFold(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def log_sink(results: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

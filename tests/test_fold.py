@@ -108,7 +108,7 @@ def test_snapshots_and_terms(spark, tmp_path):
 
 
 def test_commands_over_all_keys(spark):
-    lines = [(None, x) for x in ("SET a 1", "SET b 2", "DBSIZE", "KEYS *", "RPUSH l x", "SCAN 0 COUNT 2", "MEMORY STATS", "INFO", "FLUSHDB", "GET a", "DBSIZE", "SET c 3", "KEYS *", "PING", "SCAN x", "MEMORY USAGE c", "MSET d 1 e 2", "DBSIZE")]
+    lines = [(None, x) for x in ("SET a 1", "SET b 2", "DBSIZE", "KEYS *", "RPUSH l x", "SCAN 0 COUNT 2", "MEMORY STATS", "INFO keyspace", "FLUSHDB", "GET a", "DBSIZE", "SET c 3", "KEYS *", "PING", "SCAN x", "MEMORY USAGE c", "MSET d 1 e 2", "DBSIZE")]
     lines += [(7, "SET f 1"), (7, "DBSIZE"), (7, "SET g 1"), (None, "DBSIZE")]
     own = log(spark, lines)
     found = {r["seq"]: r for r in fold.run(own).collect()}
@@ -156,3 +156,79 @@ def test_a_crash_before_publishing_leaves_the_last_version(spark, tmp_path, monk
     late = store.pointer() | {"number": 1}
     with pytest.raises(snapshots.Fenced):
         store._publish(late, late)
+
+
+def test_resp_source_in_parts(spark, tmp_path):
+    """Records of all sizes, values that look like records, and parts far smaller than some records."""
+    import random
+
+    rng = random.Random(7)
+    lines = [[b"SET", b"k%d" % i, bytes(rng.randrange(256) for _ in range(rng.choice((0, 1, 5, 40, 900))))] for i in range(400)]
+    lines[50][2] = b"x\r\n*1\r\n$4\r\nFAKE\r\nrest"
+    raw = b"".join(map(resp.records, lines))
+    (tmp_path / "a.resp").write_bytes(raw + b"*2\r\n$3\r\nGE")
+    spark.dataSource.register(resp.RespSource)
+    for split in (0, 700, 20_000, 1 << 26):
+        found = spark.read.format("resp").option("splitBytes", split).load(str(tmp_path)).orderBy("seq").collect()
+        assert [[r["cmd"].encode(), *map(bytes, r["args"])] for r in found] == lines
+    inner = resp.records([b"SET", b"a", b"b"]) * 40
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.resp").write_bytes(resp.records([b"SET", b"log", inner]) + resp.records([b"GET", b"log"]))
+    with pytest.raises(Exception, match="splitBytes=0|do not lead"):
+        spark.read.format("resp").option("splitBytes", 500).load(str(tmp_path / "b")).collect()
+    assert spark.read.format("resp").option("splitBytes", 0).load(str(tmp_path / "b")).count() == 2
+
+
+def test_resp_stream(spark, tmp_path):
+    spark.dataSource.register(resp.RespSource)
+    (tmp_path / "in").mkdir()
+    path = tmp_path / "in" / "log.resp"
+    path.write_bytes(resp.records([b"SET", b"k", b"1"]) + b"*2\r\n$3\r\nGE")
+
+    def run():
+        stream = spark.readStream.format("resp").load(str(tmp_path / "in"))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return [r["cmd"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
+
+    assert run() == ["SET"]
+    path.write_bytes(resp.records([b"SET", b"k", b"1"]) + resp.records([b"GET", b"k"]) + resp.records([b"DEL", b"k"]))
+    assert run() == ["SET", "GET", "DEL"]
+
+
+def test_timers_take_expired_keys(spark, tmp_path):
+    """k1 is due before the stream's end and goes by a timer; k2 had its time extended; k3 is due later."""
+    lines = ["SET k1 a", "PEXPIRE k1 50", "SET k2 b", "PEXPIRE k2 50", "PEXPIRE k2 9000000", "SET k3 c", "PEXPIRE k3 9000000"]
+    own = log(spark, [(None, x) for x in lines]).drop("tx_id")
+    later = log(spark, [(None, "SET z 1")]).drop("tx_id").withColumn("seq", F.lit(100).cast("long")).withColumn("ts_ms", F.lit(100_000).cast("long"))
+    own.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run():
+        stream = spark.readStream.schema(own.schema).parquet(str(tmp_path / "in"))
+        query = streaming.fold_stream(stream, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    run()
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    found = run()
+    gone = [(bytes(r["key"]), [[bytes(x) for x in y] for y in r["records"]]) for r in found.where("kind = 'expired'").collect()]
+    assert gone == [(b"k1", [[b"DEL", b"k1"]])]
+    assert found.where("seq is not null").count() == 8
+
+
+def test_a_replica_pulls_what_it_lacks(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(i,) for i in range(8)], "seq long")
+    assert store.pull(rows)[0] == {} and store.pull(rows)[1].count() == 8
+    store.save({"strings": spark.createDataFrame([("k", "v")], "key string, value string")}, 3)
+    tables, rest = store.pull(rows)
+    assert tables["strings"].count() == 1 and sorted(r["seq"] for r in rest.collect()) == [4, 5, 6, 7]
+    tables, rest = store.pull(rows, since=5)
+    assert tables == {} and sorted(r["seq"] for r in rest.collect()) == [6, 7]
+    store.promote(4)
+    with pytest.raises(snapshots.Fenced):
+        store.pull(rows, since=5, term=3)

@@ -7,8 +7,8 @@ def test_registered_functions(spark, data):
     names = sql.register(spark)
     assert len(names) == len(set(names)) == 14
     spark.read.parquet(f"{data}/events.parquet").createOrReplaceTempView("events_of_sql")
-    row = spark.sql("SELECT hll_estimate(hll_sketch(CAST(user_id AS STRING))) AS n, count(DISTINCT user_id) AS exact FROM events_of_sql").first()
-    assert abs(row["n"] / row["exact"] - 1) < 0.03
+    n = spark.sql("SELECT hll_estimate(hll_sketch(CAST(user_id AS STRING))) AS n FROM events_of_sql").first()["n"]
+    assert abs(n / spark.sql("SELECT count(DISTINCT user_id) AS n FROM events_of_sql").first()["n"] - 1) < 0.03
     row = spark.sql("""
         WITH s AS (SELECT cms_sketch(event_type, CAST(1 AS BIGINT), 1000, 4) AS c, bloom_sketch(event_type, 100, CAST(0.01 AS DOUBLE)) AS b FROM events_of_sql)
         SELECT cms_estimate(c, 'absent') AS none, bloom_has(b, (SELECT min(event_type) FROM events_of_sql)) AS has, bloom_has(b, 'absent') AS hasnot, c,
