@@ -9,8 +9,9 @@ conversation that a third of the log shares is one row a task. A conversation's
 text is one row.
 
 Defined results: turns are ordered by number, role and text, null numbers first; a null text is empty and a null role
-is "unknown"; rows with a null id form one conversation; of equal conversations the smallest id stays, null last;
-extra columns are ignored; an empty table gives no rows.
+is "unknown"; rows with a null id form one conversation; rows that are repeated are turns that are repeated; of equal
+conversations the smallest id stays, null last; a conversation of any length is rendered whole, in the memory of one
+task; extra columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import Staging
+from tessera.llm.staging import Staging, whole_id
 
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
@@ -53,7 +54,7 @@ def maximal_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: s
     """One row per maximal conversation: ``id_col``, n_turns, copies (equal conversations in the log), rendered."""
     staging = Staging(turns.sparkSession, "chat")
     parts = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("unknown")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = turns.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.sort_array(F.collect_list(parts)).alias("_list"))
+    rows = turns.groupBy(whole_id(turns, id_col).alias("_id")).agg(F.sort_array(F.collect_list(parts)).alias("_list"))
     rolled = staging.put(rows.mapInArrow(_roll, "_id long, _turns long, _full binary, _prefixes array<binary>, _text string"), "rolled")
     groups = rolled.groupBy("_full").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
     shorter = rolled.select(F.explode("_prefixes").alias("_p")).distinct()

@@ -11,7 +11,9 @@ Nothing is shuffled. The windows travel to the executors in blocks of at most ``
 larger benchmark is searched block after block over the same rows.
 
 Defined results: null texts and items have no words; an item without words gives no window; items that share an id
-are one item and a null id is written "null"; repeated documents get a row each; extra columns are ignored.
+are one item and a null id is written "null"; repeated documents and null document ids get a row each; a table without
+rows gives none; a text of any length is searched whole, in a shard of its own if need be, with some 40 bytes of memory a
+byte; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
+from tessera.llm.staging import whole_id
 
 #: Words of a shard's sequence, and bytes of text read for a shard, before it is indexed.
 SHARD_WORDS, SHARD_BYTES = 1 << 18, 1 << 25
@@ -245,7 +248,7 @@ def benchmark_blocks(benchmark: DataFrame, width: int, block_words: int) -> list
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10, block_words: int = 1 << 20) -> DataFrame:
     """One row per document: ``id_col``, n_words, spans (word offsets start, end, start, end ...), items."""
     rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<string>").alias("_items"), F.col(text_col).alias("_text")
+        whole_id(docs, id_col).alias("_id"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<string>").alias("_items"), F.col(text_col).alias("_text")
     )
     blocks = benchmark_blocks(benchmark, width, block_words)
     for i, bench in enumerate(blocks):

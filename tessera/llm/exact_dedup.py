@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.staging import Staging, partitions
+from tessera.llm.staging import Staging, partitions, whole_id
 
 KEY = 48
 _DIGESTS = "_id long, _rid long, _key binary"
@@ -153,7 +153,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     staging, tree = Staging(spark, "exact"), _Tree(n)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.monotonically_increasing_id().alias("_rid"), F.col(text_col).alias("_text"))
+    rows = docs.select(whole_id(docs, id_col).alias("_id"), F.monotonically_increasing_id().alias("_rid"), F.col(text_col).alias("_text"))
     digests = staging.put(rows.mapInArrow(_digest, _DIGESTS), "digests")
     runs = digests.mapInArrow(_runs(tree, 0, keep == "largest"), _RUN)
     for level in range(1, tree.rounds + 1):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
+from tessera.llm.staging import whole_id
 
 # The phrases of the contract and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -418,5 +419,5 @@ _OUT = "_id long, n_words long, n_base long, first_word long, last_word long, ba
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (word intervals)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(whole_id(docs, id_col).alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(_scan, _OUT).withColumnRenamed("_id", id_col)

@@ -6,8 +6,9 @@ Rows get a hash-random key; a range sort by (source, key) and prefix sums (insid
 partitions' totals) give each row the number of words before it in its source. A source gives whole epochs while they
 fit, then is cut in the order of the keys at its exact budget: the row on the cut is taken in part.
 
-Defined results: a null text has size 0; null is a source of its own; rows that agree in every column are
-interchangeable; a source without words has target 0; an empty table gives no rows.
+Defined results: a null text has size 0; null is a source of its own; null ids are ordered by size; rows that agree in
+every column are interchangeable; a source without words has target 0; a text of any length is counted whole; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.staging import Staging, partitions
+from tessera.llm.staging import Staging, partitions, whole_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,7 +65,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     staging = Staging(spark, "mixing")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"),
+        whole_id(docs, id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
     ).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("null")))))
@@ -78,6 +79,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = parts.withColumn("_offset", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
     parts = parts.join(per.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "_offset", "_total", "_target")
     parts = staging.put(parts, "parts")
+    staging.drop("sizes", "targets")
     budget = F.floor(F.col("_target") + 0.5)
     epochs = F.when(F.col("_total") > 0, F.floor(budget / F.col("_total"))).otherwise(0)
     rest = budget - epochs * F.col("_total") - F.col("_offset") - F.col("_before")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.staging import Staging, fresh, partitions
+from tessera.llm.staging import Staging, fresh, partitions, whole_id
 
 K, NEED, AGREE, SHORT, BLOCK = 40, 5, 3, 24, 512
 #: Similarity 4/5 as a ratio, and how far an estimate from K values may lie below it.
@@ -293,7 +293,7 @@ class _Job:
         self.staging = Staging(self.spark, "near")
         self.width, self.k = width, k
         self.names: list[str] = []
-        self.rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+        self.rows = docs.select(whole_id(docs, id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
         keyed = self.rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_sketches(width, k), _SKETCHED)
         self.all = self.staging.put(keyed, "sketches")
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
+from tessera.llm.staging import whole_id
 
 PASSAGE = 1024
 HIDDEN, GATE = 24, 12
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if len(set(label.values())) < 2:
         return None, prior
     wanted = docs.sparkSession.createDataFrame([(i,) for i in label], "_want long")  # at most ``sample`` rows
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(whole_id(docs, id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.join(F.broadcast(wanted), F.col("_id") == F.col("_want"), "left_semi").mapInArrow(_bags(passages), "_id long, _n int, _x binary").collect()
     rows.sort(key=lambda r: (r["_id"], r["_x"]))
     bags = [np.frombuffer(r["_x"], np.float32).reshape(r["_n"], FEATURES) for r in rows]
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 4000, passages: int = 16, threshold: float = 0.3, steps: int = STEPS) -> DataFrame:
     """One row per document: ``id_col``, held_out, score, predicted."""
     model, prior = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample, passages, steps)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), _held(id_col, folds, held_fold).alias("_held"), F.col(text_col).alias("_text"))
+    rows = docs.select(whole_id(docs, id_col).alias("_id"), _held(id_col, folds, held_fold).alias("_held"), F.col(text_col).alias("_text"))
     scored = rows.mapInArrow(_score(model, prior), "_id long, _held boolean, _score double")
     return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 

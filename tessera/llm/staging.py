@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from tessera.plans.stage import shared_dir
 
@@ -21,6 +23,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """Column ``name`` as long. Other types than whole numbers are refused, as a cast would turn them into null or into each other."""
+    kind = df.select(F.col(name)).schema[0].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(name).cast("long")
+
+
 class Staging:
     """Tables of one operator call."""
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit
 from tessera.llm.asking import Asked, sorted_rows
 from tessera.llm.near_dedup import BROADCAST
-from tessera.llm.staging import Staging
+from tessera.llm.staging import Staging, whole_id
 
 LENGTH, GRAM, WINDOW = 400, 8, 96
 #: Bytes behind an anchor that hold only whole phrases in every repeat, and bytes from it on that every repeat holds.
@@ -469,7 +469,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: ``id_col``, n_bytes, kept_sha256, spans (removed byte runs: start, end, start, end ...)."""
     spark = docs.sparkSession
     staging = Staging(spark, "suffix")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    rows = docs.select(whole_id(docs, id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     scanned = staging.put(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_scan, _SCANNED), "scanned")
     facts = scanned.select("_rid", "_id", "_hash", "_bytes", "_sha")
     state, name = _double(staging, scanned)

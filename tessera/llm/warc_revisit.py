@@ -7,7 +7,9 @@ modification date, else payload digest), and the headers that a 304 may update a
 
 Defined results: a revisit without an earlier response is "orphan"; one whose validators differ is "mismatch" and keeps
 its own headers; one without validators is "unverified" and is resolved; a null URL matches nothing; null times come
-first; records of one URL and time are ordered responses first, then by id; an empty table gives no rows.
+first; records of one URL and time are ordered responses first, then by id; repeated revisits get a row each, and of
+repeated responses either may be taken, as they agree; null headers are none; headers of any length are kept whole; extra
+columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import Staging, partitions
+from tessera.llm.staging import Staging, partitions, whole_id
 
 # Headers that a 304 response may send (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -65,13 +67,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     staging = Staging(spark, "revisit")
     rows = records.select(
-        canonical_url(F.col("url")).alias("_url"), F.col("time").cast("long").alias("_time"), (F.col("type") == "revisit").cast("int").alias("_revisit"), F.col("record_id").cast("long").alias("_id"),
+        canonical_url(F.col("url")).alias("_url"), F.col("time").cast("long").alias("_time"), (F.col("type") == "revisit").cast("int").alias("_revisit"), whole_id(records, "record_id").alias("_id"),
         F.col("etag").alias("_etag"), F.col("last_modified").alias("_modified"), F.col("digest").alias("_digest"), F.to_json("headers").alias("_headers"),
     )
     order = ["_url", "_time", "_revisit", "_id"]
     sorted_ = staging.put(rows, "records").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     carried = ", ".join(f"_r{k} {'long' if k == '_id' else 'string'}" for k in _CARRIED)
     placed = staging.put(sorted_.mapInArrow(_carry, f"{_ROW}, _part int, _known boolean, {carried}"), "placed")
+    staging.drop("records")
     last = F.max_by(F.struct("_url", "_known", *[f"_r{k}" for k in _CARRIED]), F.struct(F.coalesce("_url", F.lit("")), F.coalesce("_time", F.lit(-(1 << 62))), "_revisit", "_id"))
     ends = placed.groupBy("_part").agg(last.alias("_e"), F.min(F.coalesce("_url", F.lit(""))).alias("_head"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
