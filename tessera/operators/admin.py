@@ -146,3 +146,38 @@ def command_catalog(spark: SparkSession) -> DataFrame:
 
     rows = [(c.name.lower(), c.arity, c.keys, c.writes, c.grows) for c in machine_sketch.COMMANDS.values()]
     return spark.createDataFrame(rows, "name string, arity int, keys string, writes boolean, denyoom boolean")
+
+
+def lfu_frequency(touches: DataFrame, factor: int = 10, period: int = 10_000, seed: int = 0) -> DataFrame:
+    """Logarithmic frequency of every key from its touches (key, clock): starts at 5, rises with a probability that falls as it rises, loses one for each ``period`` ticks without a touch.
+
+    One task takes a key's touches in order and holds two numbers; the chance of a touch is a hash of key and clock, so
+    reruns agree.
+    """
+    import pyarrow as pa
+
+    from tessera.plans.machine import LFU_START
+
+    rows = touches.select(F.col("key").cast("string").alias("key"), F.col("clock").cast("long").alias("clock"), (F.pmod(F.xxhash64("key", "clock", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).alias("luck"))
+
+    def run(batches):
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([f for _, f in found], pa.int64())], names=["key", "frequency"])
+
+        now, frequency, last, found, begun = None, 0, 0, [], False
+        for batch in batches:
+            for key, clock, luck in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or key != now:
+                    if begun:
+                        found.append((now, frequency))
+                    now, frequency, last, begun = key, LFU_START, clock, True
+                frequency = max(0, frequency - (clock - last) // period) if period else frequency
+                if frequency < 255 and luck * (max(0, frequency - LFU_START) * factor + 1) < 1:
+                    frequency += 1
+                last = clock
+            if len(found) > 5000:
+                yield out(found)
+                found = []
+        yield out([*found, (now, frequency)] if begun else found)
+
+    return rows.repartition("key").sortWithinPartitions("key", "clock").mapInArrow(run, "key string, frequency long")

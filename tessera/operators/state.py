@@ -26,6 +26,19 @@ def remove(state: DataFrame, ids_of: DataFrame, ids: list[str]) -> DataFrame:
     return state.join(ids_of.select(*ids), ids, "left_anti")
 
 
+def remove_counted(requests: DataFrame, names: DataFrame) -> DataFrame:
+    """Replies of DEL and UNLINK: requests (seq, key), several keys a request -> (seq, removed); a key counts for the first request that names it."""
+    owner = requests.groupBy("key").agg(F.min("seq").alias("_owner")).join(names.select("key").distinct(), "key", "left_semi")
+    counts = owner.groupBy(F.col("_owner").alias("seq")).agg(F.count(F.lit(1)).alias("_n"))
+    return requests.select("seq").distinct().join(counts, "seq", "left").select("seq", F.coalesce("_n", F.lit(0)).alias("removed"))
+
+
+def average_ttl(state: DataFrame, now_ms: int, expire: str = "expire_at_ms") -> DataFrame:
+    """One row: keys with a time to live that are alive, and the mean of what is left of it in milliseconds, exact."""
+    own = state.where(F.col(expire) > now_ms)
+    return own.agg(F.count(F.lit(1)).alias("expires"), F.coalesce(F.floor(F.avg(F.col(expire) - now_ms)), F.lit(0)).cast("long").alias("avg_ttl"))
+
+
 def live(state: DataFrame, now_ms: int, expire: str = "expire_at_ms") -> DataFrame:
     """Rows that are alive at a fixed instant; the instant is a literal, the same for every table of a query."""
     return state.where(F.col(expire).isNull() | (F.col(expire) > now_ms))

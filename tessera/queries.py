@@ -418,6 +418,58 @@ def counter_decrby(spark, d):
     return strings.incr(_no_strings(spark), _event_changes(spark, d).withColumn("delta", -F.col("delta")))
 
 
+_OPTIONED = f"(SELECT *, CASE seq % 3 WHEN 0 THEN 'NX' WHEN 1 THEN 'XX' END AS option FROM {_EVENTS})"
+_APPLIED = f"""w AS (SELECT *, coalesce(max(CAST(option IS DISTINCT FROM 'XX' AS INT)) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS there FROM {_OPTIONED}),
+a AS (SELECT *, CASE option WHEN 'NX' THEN NOT there WHEN 'XX' THEN there ELSE true END AS applied FROM w)"""
+
+
+def _optioned(spark, d):
+    turn = F.col("seq") % 3
+    return strings.set_options(_no_strings(spark), _event_changes(spark, d).withColumn("option", F.when(turn == 0, "NX").when(turn == 1, "XX")))
+
+
+@query(f"WITH {_APPLIED} SELECT seq, key, applied, last_value(CASE WHEN applied THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM a")
+def string_set_options(spark, d):
+    return _optioned(spark, d)[0]
+
+
+@query(f"WITH {_APPLIED} SELECT key, arg_max(value, seq) AS value FROM a WHERE applied GROUP BY key")
+def string_set_options_state(spark, d):
+    return _optioned(spark, d)[1]
+
+
+@query(f"SELECT key, arg_max(value, seq) AS value, {NOW} + 1000 * (1 + max(seq) % 100) AS expire_at_ms FROM {_EVENTS} GROUP BY key")
+def string_setex(spark, d):
+    rows = _event_changes(spark, d).withColumn("ttl_ms", 1000 * (1 + F.col("seq") % 100)).withColumn("ts_ms", F.lit(NOW))
+    return strings.setex(spark.createDataFrame([], "key string, value string, expire_at_ms long"), rows)
+
+
+@query(f"WITH s AS (SELECT key, arg_max(value, seq) AS value FROM {_EVENTS} WHERE seq % 2 = 0 GROUP BY key), r AS (SELECT seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM {_EVENTS} WHERE seq % 2 = 1) SELECT seq, r.key, CASE WHEN n = 1 THEN value END AS value FROM r LEFT JOIN s ON s.key = r.key")
+def string_getdel(spark, d):
+    rows = _event_changes(spark, d)
+    return strings.getdel(rows.where("seq % 2 = 1").select("seq", "key"), strings.set_(_no_strings(spark), rows.where("seq % 2 = 0")))[0]
+
+
+@query(f"WITH s AS (SELECT key, arg_max(value, seq) AS value FROM {_EVENTS} WHERE seq % 2 = 0 GROUP BY key), r AS (SELECT key, arg_max(CASE WHEN seq % 3 = 0 THEN NULL ELSE {NOW} + seq END, seq) AS e, max(seq) AS m FROM {_EVENTS} WHERE seq % 2 = 1 GROUP BY key) SELECT s.key, value, CASE WHEN m IS NULL THEN 5 WHEN m % 3 = 0 THEN NULL ELSE {NOW} + m END AS expire_at_ms FROM s LEFT JOIN r USING (key)")
+def string_getex(spark, d):
+    rows = _event_changes(spark, d)
+    own = strings.set_(_no_strings(spark), rows.where("seq % 2 = 0")).withColumn("expire_at_ms", F.lit(5).cast("long"))
+    asked = rows.where("seq % 2 = 1").select("seq", "key", F.when(F.col("seq") % 3 != 0, F.lit(NOW) + F.col("seq")).alias("expire_at_ms"))
+    return strings.getex(asked, own)[1]
+
+
+@query(f"SELECT key, CASE WHEN t % 4 = 0 THEN CAST(t // 4 AS VARCHAR) ELSE CASE WHEN t < 0 THEN '-' ELSE '' END || CAST(abs(t) // 4 AS VARCHAR) || CASE abs(t) % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END END AS value FROM (SELECT key, CAST(sum(delta) AS BIGINT) AS t FROM {_EVENTS} GROUP BY key)")
+def string_incrbyfloat(spark, d):
+    rows = _event_changes(spark, d).select("key", (F.col("delta").cast("decimal(20,2)") / 4).cast("string").alias("delta"))
+    return strings.incrbyfloat(_no_strings(spark), rows)
+
+
+@query("WITH n AS (SELECT DISTINCT 'part:' || p_partkey AS key FROM part), r AS (SELECT l_orderkey AS seq, 'part:' || l_partkey * 2 AS key FROM lineitem), o AS (SELECT key, min(seq) AS seq FROM r WHERE key IN (SELECT key FROM n) GROUP BY key), c AS (SELECT seq, count(*) AS n FROM o GROUP BY seq) SELECT seq, coalesce(n, 0) AS removed FROM (SELECT DISTINCT seq FROM r) LEFT JOIN c USING (seq)")
+def del_replies(spark, d):
+    asked = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("part:"), F.col("l_partkey") * 2).alias("key"))
+    return state.remove_counted(asked, _t(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("key")))
+
+
 # ---- keys and expiry
 
 
@@ -446,6 +498,11 @@ def keys_alive(spark, d):
     return state.live(_ttls(spark, d), NOW).agg(F.count(F.lit(1)).alias("alive"))
 
 
+@query(f"SELECT count(*) AS expires, coalesce(CAST(floor(avg(expire_at_ms - {NOW})) AS BIGINT), 0) AS avg_ttl FROM {_TTL} WHERE expire_at_ms > {NOW}")
+def average_ttl(spark, d):
+    return state.average_ttl(_ttls(spark, d), NOW)
+
+
 @query(f"SELECT event_id, (expire_at_ms IS NOT NULL)::INT AS reply FROM {_TTL} WHERE expire_at_ms IS NULL OR expire_at_ms > {NOW}")
 def persist(spark, d):
     return state.live(_ttls(spark, d), NOW).select("event_id", F.col("expire_at_ms").isNotNull().cast("int").alias("reply"))
@@ -778,6 +835,13 @@ def memory_stats(spark, d):
     return admin.memory_stats(admin.memory_usage(_sized(spark, d)))
 
 
+@query()
+def lfu_frequency(spark, d):
+    from tessera.operators import admin
+
+    return admin.lfu_frequency(_t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("clock")))
+
+
 @query()
 def command_catalog(spark, d):
     from tessera.operators import admin
@@ -945,3 +1009,46 @@ def fold_transactions(spark, d):
     cmd = F.when(turn == 1, "INCRBY").when(turn == 3, "GET").otherwise("SET")
     args = F.when(turn == 0, F.array(name, F.lit("1").cast("binary"))).when(turn == 1, F.array(name, F.length("value").cast("string").cast("binary"))).when(turn == 2, F.array(other, F.col("value").cast("binary"))).otherwise(F.array(name))
     return _texts(fold.run(e.select("seq", F.lit(NOW).alias("ts_ms"), F.lit("c").alias("client"), block.alias("tx_id"), cmd.alias("cmd"), args.alias("args"))))
+
+
+def _cycle(*turns: tuple):
+    """Registers a query of each name whose user logs go round a cycle of commands; turns: (command, reply at its turn)."""
+
+    def register(name: str):
+        commands, replies = [t[0] for t in turns], [t[1] for t in turns]
+        cases = " ".join(f"WHEN {i} THEN {reply}" for i, reply in enumerate(replies))
+
+        def run(spark, d):
+            from tessera.plans import fold
+
+            found = fold.run(_placed_log(spark, d, *[tuple(x() if callable(x) else x for x in c) for c in commands]))
+            return found.select("seq", F.coalesce(F.col("s").cast("string"), F.col("i").cast("string"), "nested", "error", F.col("d").cast("string")).alias("reply"))
+
+        run.__name__ = name
+        query(f"SELECT seq, CASE n % {len(turns)} {cases} END AS reply FROM {_PLACED}")(run)
+
+    return register
+
+
+_GONE = "CASE WHEN n = 0 THEN '0' ELSE '1' END"
+
+
+def _register_cycles():
+    """One cycle for each family of commands; the first command of some clears what the cycle before has left."""
+    _cycle((("CF.ADDNX", "x"), "'1'"), (("CF.COUNT", "x"), "'1'"), (("CF.DEL", "x"), "'1'"), (("CF.EXISTS", "x"), "'0'"))("fold_cuckoo")
+    _cycle((("DEL",), _GONE), (("CF.RESERVE", "64"), "'OK'"), (("CF.INSERT", "ITEMS", "a", "b"), "'[1, 1]'"), (("CF.MEXISTS", "a", "z"), "'[true, false]'"))("fold_cuckoo_insert")
+    _cycle((("DEL",), _GONE), (("CMS.INITBYDIM", "100", "4"), "'OK'"), (("CMS.INCRBY", "x", "3", "x", "2"), "'[3, 5]'"), (("CMS.QUERY", "x", "none"), "'[5, 0]'"))("fold_cms")
+    _cycle((("DEL",), _GONE), (("BF.INSERT", "CAPACITY", "50", "ITEMS", "a", "b"), "'[1, 1]'"), (("BF.CARD",), "'2'"), (("BF.MEXISTS", "a", "none"), "'[true, false]'"))("fold_bloom_insert")
+    _cycle((("DEL",), _GONE), (("MORRIS.INITBYDIM", "50", "3"), "'OK'"), (("MORRIS.INCRBY", "x", "1"), """'["1"]'"""), (("MORRIS.QUERY", "x", "none"), """'["1", "0"]'"""))("fold_morris")
+    _cycle((("DEL",), _GONE), (("PFADD", "a", "b"), "'1'"), (("PFCOUNT",), "'2'"), (("PFADD", "a"), "'0'"))("fold_hll")
+    _cycle((("GEOADD", "13.361389", "38.115556", "p", "15.087269", "37.502669", "c"), "'2'"), (("GEODIST", "p", "c", "km"), "'166.2742'"), (("GEOHASH", "p"), """'["sqc8b49rny0"]'"""), (("DEL",), "'1'"))("fold_geo")
+    _cycle((("ZADD", "1", "a", "2", "b"), "'2'"), (("ZRANK", "b"), "'1'"), (("ZRANGE", "0", "-1"), """'["a", "b"]'"""), (("DEL",), "'1'"))("fold_zset")
+    _cycle((("SADD", "a", "b", "a"), "'2'"), (("SMISMEMBER", "a", "z"), "'[1, 0]'"), (("SREM", "a", "z"), "'1'"), (("DEL",), "'1'"))("fold_set")
+    _cycle((("SET", "x"), "'OK'"), (("EXPIRE", "100", "NX"), "'1'"), (("EXPIRE", "50", "GT"), "'0'"), (("PERSIST",), "'1'"))("fold_expire")
+    _cycle((("HSET", "f", "1", "g", "2"), "'2'"), (("HINCRBY", "f", "4"), "'5'"), (("HMGET", "f", "z"), """'["5", null]'"""), (("DEL",), "'1'"))("fold_hash")
+    other = lambda: F.concat(F.lit("to:"), F.col("key"))
+    _cycle((("RPUSH", "a", "b", "c"), "'3'"), (("LMOVE", other, "LEFT", "RIGHT"), "'a'"), (("RPOPLPUSH", other), "'c'"), (("DEL",), "'1'"))("fold_lmove")
+    _cycle((("SETRANGE", "3", "xyz"), "'6'"), (("GETRANGE", "3", "-1"), "'xyz'"), (("STRLEN",), "'6'"), (("TYPE",), "'string'"))("fold_ranges")
+
+
+_register_cycles()

@@ -34,3 +34,16 @@ def test_estimates_are_close(spark):
     assert len(found) == len(exact)
     for r in found.itertuples():
         assert abs(r.estimate / distinct[r.key] - 1) < 0.03
+
+
+def test_logarithmic_frequencies(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import admin
+
+    touches = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("key"), F.col("id").alias("clock"))
+    found = {r["key"]: r["frequency"] for r in admin.lfu_frequency(touches, factor=10, period=0).collect()}
+    assert len(found) == 26 and found["hot"] > max(v for k, v in found.items() if k != "hot") and found["hot"] < 60
+    decayed = {r["key"]: r["frequency"] for r in admin.lfu_frequency(touches, period=50).collect()}
+    assert all(v <= 6 for k, v in decayed.items() if k != "hot")
+    assert found == {r["key"]: r["frequency"] for r in admin.lfu_frequency(touches.repartition(3), factor=10, period=0).collect()}
