@@ -1036,9 +1036,9 @@ _GONE = "CASE WHEN n = 0 THEN '0' ELSE '1' END"
 def _register_cycles():
     """One cycle for each family of commands; the first command of some clears what the cycle before has left."""
     _cycle((("CF.ADDNX", "x"), "'1'"), (("CF.COUNT", "x"), "'1'"), (("CF.DEL", "x"), "'1'"), (("CF.EXISTS", "x"), "'0'"))("fold_cuckoo")
-    _cycle((("DEL",), _GONE), (("CF.RESERVE", "64"), "'OK'"), (("CF.INSERT", "ITEMS", "a", "b"), "'[1, 1]'"), (("CF.MEXISTS", "a", "z"), "'[true, false]'"))("fold_cuckoo_insert")
+    _cycle((("DEL",), _GONE), (("CF.RESERVE", "64"), "'OK'"), (("CF.INSERT", "ITEMS", "a", "b"), "'[true, true]'"), (("CF.MEXISTS", "a", "z"), "'[true, false]'"))("fold_cuckoo_insert")
     _cycle((("DEL",), _GONE), (("CMS.INITBYDIM", "100", "4"), "'OK'"), (("CMS.INCRBY", "x", "3", "x", "2"), "'[3, 5]'"), (("CMS.QUERY", "x", "none"), "'[5, 0]'"))("fold_cms")
-    _cycle((("DEL",), _GONE), (("BF.INSERT", "CAPACITY", "50", "ITEMS", "a", "b"), "'[1, 1]'"), (("BF.CARD",), "'2'"), (("BF.MEXISTS", "a", "none"), "'[true, false]'"))("fold_bloom_insert")
+    _cycle((("DEL",), _GONE), (("BF.INSERT", "CAPACITY", "50", "ITEMS", "a", "b"), "'[true, true]'"), (("BF.CARD",), "'2'"), (("BF.MEXISTS", "a", "none"), "'[true, false]'"))("fold_bloom_insert")
     _cycle((("DEL",), _GONE), (("MORRIS.INITBYDIM", "50", "3"), "'OK'"), (("MORRIS.INCRBY", "x", "1"), """'["1"]'"""), (("MORRIS.QUERY", "x", "none"), """'["1", "0"]'"""))("fold_morris")
     _cycle((("DEL",), _GONE), (("PFADD", "a", "b"), "'1'"), (("PFCOUNT",), "'2'"), (("PFADD", "a"), "'0'"))("fold_hll")
     _cycle((("GEOADD", "13.361389", "38.115556", "p", "15.087269", "37.502669", "c"), "'2'"), (("GEODIST", "p", "c", "km"), "'166.2742'"), (("GEOHASH", "p"), """'["sqc8b49rny0"]'"""), (("DEL",), "'1'"))("fold_geo")
