@@ -316,7 +316,7 @@ class _Job:
         """lists (_value, _c, _n, _agree, _size, _long): the lists that each representative stands in, and how many of them are long."""
         keys = self.reps.select("_c", "_n", "_sketch").mapInArrow(_neighbours, "_value long, _c long, _n long")
         shared = self.put(keys.groupBy("_value").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").withColumnRenamed("_value", "_v"), "shared")
-        common = keys.join(fitting(shared), F.col("_value") == F.col("_v")).groupBy("_c", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "_value"))).alias("_held"))
+        common = keys.join(shared, F.col("_value") == F.col("_v")).groupBy("_c", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "_value"))).alias("_held"))
         need = F.least(F.expr("(3 * _n - 1) div 5"), F.lit(NEED))
         agree = F.least(F.lit(AGREE), need)
         every = F.col("_n") - 1 if self.k is None else F.least(F.col("_n"), F.lit(self.k)) - 1
