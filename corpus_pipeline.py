@@ -25,7 +25,8 @@ def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of ``docs`` but for those whose id has verdicts (doc_id, kept) and none that keeps it; null ids count as one id."""
     gone, kept = fresh(docs, "_gone"), fresh(docs, "_kept")
     ids = verdicts.groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias(kept)).where(~F.col(kept)).select(gone)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
+    ids = Staging(docs.sparkSession, "pipeline").put(ids, "gone")
+    return docs.join(near_dedup.fitting(ids), docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
