@@ -31,10 +31,18 @@ def whole_id(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("long")
 
 
+def lean(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 8 MB instead of Spark's 64 MB, unless the session names a size of its own: JVM and Python both hold a batch a task, some of it several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(8 << 20))
+
+
 class Staging:
     """Tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
+        lean(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -57,4 +65,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
