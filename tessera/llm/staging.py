@@ -34,7 +34,7 @@ def whole_id(df: DataFrame, name: str) -> Column:
 def lean(spark: SparkSession) -> None:
     """Lets Arrow batches hold 8 MB instead of Spark's 64 MB, unless the session names a size of its own: JVM and Python both hold a batch a task, some of it several times."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
         spark.conf.set(key, str(8 << 20))
 
 
