@@ -25,11 +25,20 @@ def pushx(state: DataFrame, changes: DataFrame, left: bool = False) -> DataFrame
     return push(state, changes.join(state.select("key").distinct(), "key", "left_semi"), left)
 
 
+def _first(state: DataFrame, n: int, left: bool) -> DataFrame:
+    """The n elements at one end of every key, with their place ``_r`` from 1: each task keeps n rows a key before the shuffle."""
+    order = Window.partitionBy("key").orderBy(F.col("pos") if left else F.col("pos").desc())
+    return state.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+
+
 def pop(state: DataFrame, n: int, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """(popped, rest) of every key."""
-    order = Window.partitionBy("key").orderBy(F.col("pos") if left else F.col("pos").desc())
-    marked = state.withColumn("_r", F.row_number().over(order))
-    return marked.where(F.col("_r") <= n).drop("_r"), marked.where(F.col("_r") > n).drop("_r")
+    popped = _first(state, n, left).drop("_r")
+    if n <= 0:
+        return popped, state
+    ends = popped.groupBy(F.col("key").alias("_key")).agg((F.max("pos") if left else F.min("pos")).alias("_end"))
+    behind = (F.col("pos") > F.col("_end")) if left else (F.col("pos") < F.col("_end"))
+    return popped, state.join(ends, F.col("key").eqNullSafe(F.col("_key"))).where(behind).select(*state.columns)
 
 
 def llen(state: DataFrame) -> DataFrame:
@@ -37,8 +46,8 @@ def llen(state: DataFrame) -> DataFrame:
 
 
 def lindex(state: DataFrame, i: int) -> DataFrame:
-    own = indexed(state)
-    return own.where(F.col("idx") == (F.lit(i) if i >= 0 else F.col("n") + i)).select("key", "value")
+    own = _first(state, i + 1 if i >= 0 else -i, i >= 0)
+    return own.where(F.col("_r") == (i + 1 if i >= 0 else -i)).select("key", "value")
 
 
 def lset(state: DataFrame, i: int, value: str) -> DataFrame:

@@ -28,3 +28,19 @@ def test_groups_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = found.sort_values("id").groupby(["a", "b"], dropna=False).cumcount()
     assert (found["rank"].loc[want.index] == want).all() and len(found) == 500
+
+
+def test_spread_ranks_equal_windows(spark):
+    from tessera.operators import zsets
+
+    rows = spark.range(600).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("key"), F.format_string("m%03d", "id").alias("member"), (F.col("id") * 7919 % 17).cast("double").alias("score"))
+    shown = lambda df: sorted(map(tuple, df.select("key", "member", "rank").collect()))
+    for reverse in (False, True):
+        assert shown(zsets.zrank(rows, reverse)) == shown(zsets.zrank(rows, reverse, spread=True))
+        every = zsets.zrank(rows, reverse).toPandas()
+        n = every.groupby("key")["member"].transform("count")
+        for start, end in ((-5, -2), (-300, -1), (2, -3), (-4, 900), (0, 3), (-1, -5)):
+            low = (n + start).clip(lower=0) if start < 0 else start
+            high = n + end if end < 0 else end
+            want = every[(every["rank"] >= low) & (every["rank"] <= high)]
+            assert shown(zsets.zrange(rows, start, end, reverse)) == sorted(map(tuple, want[["key", "member", "rank"]].itertuples(index=False))), (start, end)
