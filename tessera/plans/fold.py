@@ -12,6 +12,7 @@ at most ``GLOBALS`` of them are taken in one run: a longer log is run in parts.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 
 import pandas as pd
 import pyarrow as pa
@@ -78,17 +79,33 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     return [(s, ts, cmd, args, None if t is None or t != t else t) for s, ts, cmd, args, t in zip(frame["seq"], frame["ts_ms"], frame["cmd"], frame["args"], blocks, strict=True)]
 
 
-def _run(commands: list[tuple], m: Machine, everywhere: list[tuple] = (), shares: list | None = None):
+def _merged(own: list[tuple], everywhere: list[tuple], idle):
+    """Own commands and those over all keys in the order of their places; where ``idle()``, the latter are passed over up to the next own one."""
+    at, places = 0, [x[:2] for x in everywhere]
+    for x in [*own, None]:
+        stop = len(everywhere) if x is None else bisect_left(places, x[:2], at)
+        while at < stop and not idle():
+            yield (*everywhere[at][:5], None, True)
+            at += 1
+        at = stop
+        if x is not None:
+            yield x
+
+
+def _run(commands: list[tuple], m: Machine, everywhere: list[tuple] = (), shares: list | None = None, base: bool = True):
     """(seq, reply, records) of each command (seq, ts_ms, cmd, args, tx_id), blocks of a transaction together.
 
     everywhere: commands over all keys, (place, seq, ts_ms, cmd, args, tx); those whose block is in the frame run there.
-    Their shares go to ``shares`` as (seq, words, reply, share).
+    Their shares go to ``shares`` as (seq, words, reply, share). A group without keys has no share in most of them, so
+    only the base runs them all.
     """
     pending: list = []
-    own = [(seq, seq, ts, cmd, args, tx, False) for seq, ts, cmd, args, tx in commands]
-    here = {x[5] for x in own}
-    rows = sorted([*own, *((*x[:5], None, True) for x in everywhere if x[5] is None or x[5] not in here)], key=lambda x: (x[0], x[1]))
-    last = {x[5]: i for i, x in enumerate(rows) if x[5] is not None}
+    own = sorted(((seq, seq, ts, cmd, args, tx, False) for seq, ts, cmd, args, tx in commands), key=lambda x: x[0])
+    here = {x[5] for x in own} - {None}
+    if here:
+        everywhere = [x for x in everywhere if x[5] not in here]
+    quiet = not base and not any(x[3].upper() in ("INFO", "BGREWRITEAOF") for x in everywhere)
+    last = {x[5]: x[1] for x in own}
     waiting: dict = {}
 
     def one(seq, words, reply, records):
@@ -97,7 +114,7 @@ def _run(commands: list[tuple], m: Machine, everywhere: list[tuple] = (), shares
             records = list(m.log)
         pending.append((seq, reply, records))
 
-    for i, (_, seq, ts, cmd, args, tx, shared) in enumerate(rows):
+    for _, seq, ts, cmd, args, tx, shared in _merged(own, everywhere, lambda: quiet and not m.keys):
         words = [cmd.encode(), *(bytes(x) for x in args)]
         m.now = int(ts)
         # keys take their places in the order of the whole log
@@ -110,7 +127,7 @@ def _run(commands: list[tuple], m: Machine, everywhere: list[tuple] = (), shares
                 shares.append((seq, words, reply, _Share(m, words, reply)))
             continue
         waiting.setdefault(tx, []).append((seq, words))
-        if last[tx] == i:
+        if last[tx] == seq:
             refused = [m.refusal(w) for _, w in waiting[tx]]
             if any(refused):
                 aborted = Reply("error", "EXECABORT Transaction discarded because of previous errors.")
@@ -127,7 +144,7 @@ def _run(commands: list[tuple], m: Machine, everywhere: list[tuple] = (), shares
     return pending
 
 
-def _merged(words: list[bytes], base: Reply, parts: list[dict]) -> Reply:
+def _answer(words: list[bytes], base: Reply, parts: list[dict]) -> Reply:
     """The answer of a command over all keys from the shares of all groups."""
     name = words[0].upper().decode("latin-1")
     if base.kind == "error" or not parts:
@@ -184,7 +201,7 @@ def run(commands: DataFrame, outputs: str = "replies", routed: bool = False) ->
     def step(key, commands):
         name = key or b""
         m, shares = _machine(name), []
-        done = _run(commands, m, everywhere, shares)
+        done = _run(commands, m, everywhere, shares, key is None)
         if outputs == "replies":
             shared = {s for s, *_ in shares}
             rows = [(*row(s, r), None, None) for s, r, _ in done if s not in shared]
@@ -201,7 +218,7 @@ def run(commands: DataFrame, outputs: str = "replies", routed: bool = False) ->
         errors = [e for e in frame["error"] if e]
         base = error(errors[0]) if errors else None
         parts = [p for p in map(json.loads, frame["share"]) if p]
-        reply = base or (_merged(words, Reply("int", 0), parts) if parts else _machine(b"").run(words))
+        reply = base or (_answer(words, Reply("int", 0), parts) if parts else _machine(b"").run(words))
         return pd.DataFrame([row(int(key[0]), reply)], columns=[x.split()[0] for x in REPLIES.split(", ")])
 
     found = _each_component(commands, step, schema)
