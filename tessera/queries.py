@@ -981,12 +981,10 @@ FROM w"""
 @query(_KEYSPACE)
 def fold_keyspace_replies(spark, d):
     """Of every 50 commands the last three are DBSIZE, KEYS and FLUSHDB, which see and empty all keys."""
-    from pyspark.sql import Window
-
     from tessera.plans import fold
 
-    e = _event_changes(spark, d)
-    turn = F.pmod(F.row_number().over(Window.orderBy("seq")) - 1, F.lit(50))
+    e = distributed_rank(_event_changes(spark, d), [], ["seq"], "every")
+    turn = F.pmod("every", F.lit(50))
     cmd = F.when(turn < 47, "SET").when(turn == 47, "DBSIZE").when(turn == 48, "KEYS").otherwise("FLUSHDB")
     args = F.when(turn < 47, F.array(F.col("key").cast("binary"), F.col("value").cast("binary"))).when(turn == 48, F.array(F.lit("*").cast("binary"))).otherwise(F.array().cast("array<binary>"))
     log = e.select("seq", F.lit(NOW).alias("ts_ms"), F.lit("c").alias("client"), cmd.alias("cmd"), args.alias("args"))

@@ -127,6 +127,17 @@ def test_commands_over_all_keys(spark):
     assert again == state
 
 
+@pytest.mark.parametrize("unquiet", [False, True])
+def test_more_commands_over_all_keys_than_travel_with_the_tasks(spark, monkeypatch, unquiet):
+    lines = [(None, x) for x in ("DBSIZE", "SET a 1", "SET b 2", "DBSIZE", "KEYS *", "FLUSHDB", "KEYS *", "SET b 3", "DBSIZE", "FLUSHDB now", "FLUSHDB ASYNC", "GET b", "DBSIZE", "SCAN 0 COUNT 2", "RPUSH l x", "MSET d 1 e 2", "MEMORY STATS", "SCAN x")]
+    lines += [(7, "SET f 1"), (None, "DBSIZE"), (7, "FLUSHDB"), (7, "DBSIZE"), (7, "SET g 1"), (None, "KEYS *")] + [(None, "INFO keyspace")] * unquiet
+    own = log(spark, [x for x in lines if x[0] is None]).drop("tx_id") if unquiet else log(spark, lines)
+    shown = lambda df: sorted(map(str, df.collect()))
+    want = [shown(fold.run(own, x)) for x in ("replies", "state", "log")]
+    monkeypatch.setattr(fold, "GLOBALS", 3)
+    assert [shown(fold.run(own, x)) for x in ("replies", "state", "log")] == want
+
+
 def test_rewrite_in_a_log(spark):
     own = log(spark, [(None, x) for x in ("SET a 1", "INCR a", "SET b 1", "DEL b", "BGREWRITEAOF", "INCR a")])
     records = sorted((r["seq"], [bytes(x) for x in r["record"]]) for r in fold.run(own, "log").collect())
