@@ -111,12 +111,12 @@ def cms_merge(cells: DataFrame, weights: DataFrame) -> DataFrame:
     return total.withColumn("valid", (F.col("cnt") >= 0) & (F.col("cnt") <= kernels.U32)).withColumn("cnt", F.col("cnt").try_cast("bigint"))
 
 
-def cms_running(df: DataFrame, width: int, depth: int, item: str = "item", count: str = "n") -> DataFrame:
-    """Reply of every CMS.INCRBY (seq, key, item, n): the estimate behind it."""
+def cms_running(df: DataFrame, width: int, depth: int, item: str = "item", count: str = "n", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Reply of every CMS.INCRBY (seq, key, item, n): the estimate behind it. ties: columns that order rows of one ``seq``, alike in all rows of the sketch; they are dropped."""
     placed = cms_places(df, width, depth, item)
-    order = Window.partitionBy("key", "row", "col").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("key", "row", "col").orderBy("seq", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = placed.withColumn("_c", F.least(F.sum(count).over(order), F.lit(kernels.U32)))
-    return after.groupBy(*df.columns).agg(F.min("_c").alias("estimate"))
+    return after.groupBy(*[c for c in df.columns if c not in ties]).agg(F.min("_c").alias("estimate"))
 
 
 # ---- Bloom

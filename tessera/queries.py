@@ -733,7 +733,9 @@ def cms_merge_weighted(spark, d):
 
 @query(f"WITH l AS (SELECT * FROM {_LINES}), {_hash32_sql('l', 4)}, c AS (SELECT seq, key, item, n, sum(n) OVER (PARTITION BY key, row, h % 2000 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt FROM {_IN_ORDER} JOIN h USING (item)) SELECT seq, key, item, CAST(n AS BIGINT) AS n, CAST(min(cnt) AS BIGINT) AS estimate FROM c GROUP BY seq, key, item, n")
 def cms_incrby_replies(spark, d):
-    return sketches.cms_running(_items(spark, d).select("seq", "key", "item", "n"), 2000, 4)
+    """Lines of one order and number come in the order of the table."""
+    rows = _items(spark, d).select("seq", "key", "item", "n", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return sketches.cms_running(rows, 2000, 4, ties=("_file", "_row"))
 
 
 _BLOOM = f"WITH l AS (SELECT * FROM {_LINES}), {_hash128_sql('l', 0x9747B28C)}, bits AS (SELECT item, CAST((a + CAST(b AS UHUGEINT) * CAST(i AS UHUGEINT)) % 18446744073709551616 % 191744 AS BIGINT) AS bit FROM (SELECT CAST(a AS UHUGEINT) AS a, b, item, unnest(range(0, 7)) AS i FROM m9))"

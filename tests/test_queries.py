@@ -47,3 +47,14 @@ def test_logarithmic_frequencies(spark):
     decayed = {r["key"]: r["frequency"] for r in admin.lfu_frequency(touches, period=50).collect()}
     assert all(v <= 6 for k, v in decayed.items() if k != "hot")
     assert found == {r["key"]: r["frequency"] for r in admin.lfu_frequency(touches.repartition(3), factor=10, period=0).collect()}
+
+
+def test_running_counts_order_ties_alike(spark):
+    """Every item stands in one cell; rows of one seq come in the order that is asked for, wherever they lie."""
+    from tessera.operators import sketches
+
+    rows = spark.createDataFrame([("k", 1, f"{i:08d}", 1, i) for i in (3, 0, 2, 1)], "key string, seq long, item string, n long, place long")
+    for own in (rows, rows.orderBy("item"), rows.orderBy(rows.item.desc())):
+        found = sketches.cms_running(own.coalesce(1), 1, 4, ties=("place",))
+        assert found.columns == ["key", "seq", "item", "n", "estimate"]
+        assert sorted((r["item"], r["estimate"]) for r in found.collect()) == [(f"{i:08d}", i + 1) for i in range(4)]
