@@ -122,7 +122,7 @@ def _near(values: np.ndarray, owner: np.ndarray, reach: int = REACH):
 
 
 def _common(folds: int, held_fold: int):
-    """Words that hold a noticeable share of a chunk's training tokens."""
+    """How often every word stands among a chunk's training tokens."""
     schema = pa.schema([("_key", pa.int64()), ("_n", pa.int64())])
 
     def run(batches):
@@ -130,8 +130,7 @@ def _common(folds: int, held_fold: int):
             for row in batch.to_pylist():
                 texts = _Texts(row, folds, held_fold)
                 keys, n = np.unique(texts.tokens[texts.train], return_counts=True)
-                some = n >= max(1, int(texts.train.sum()) >> 13)
-                yield textkit.output(schema, [keys[some].view(np.int64), n[some].astype(np.int64)])
+                yield textkit.output(schema, [keys.view(np.int64), n.astype(np.int64)])
 
     return run
 

@@ -154,3 +154,14 @@ def test_held_out_documents_gain_over_the_base(spark):
         found = lm_score.score_documents(docs, rounds=rounds).where("held_out").toPandas()
         gain[rounds] = (found["score"] - found["base_score"]).sum() / found["n_tokens"].sum()
     assert gain[3] >= 0.15 and gain[3] > gain[0] + 0.1
+
+
+def test_the_commonest_words_are_told_from_counts_of_all():
+    """A word that is rare in every chunk is counted in each."""
+    import pyarrow as pa
+    import zstandard
+
+    text = b"often " * 20000 + b"rare"
+    chunk = {"_chunk": 0, "_ids": [1], "_crc": np.zeros(1, np.int64).tobytes(), "_ends": np.array([len(text)]).tobytes(), "_text": zstandard.compress(text)}
+    found = list(lm_score._common(7, 2)([pa.RecordBatch.from_pylist([chunk])]))
+    assert sorted(n for b in found for n in b.column("_n").to_pylist()) == [1, 1, 20000]
